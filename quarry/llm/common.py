@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             continue
         column = batch.column(batch.schema.get_field_index(text))
         start = used = 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         for i, size in enumerate(lengths):
             if used and used + size > limit:
                 yield batch.slice(start, i - start)

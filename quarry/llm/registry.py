@@ -6,9 +6,11 @@ from .licenses import op7_license_scan
 from .pieces import op1_sentencepiece
 from .quality import op5_quality_rules
 from .quality import oracle as quality_sql
+from .tokenfiles import op4_token_files
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op7_license_scan": op7_license_scan,
 }
