@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from .language import op2_language_id
 from .licenses import op7_license_scan
 from .pieces import op1_sentencepiece
 from .quality import op5_quality_rules
 from .quality import oracle as quality_sql
 from .tokenfiles import op4_token_files
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_language_id": op2_language_id,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op7_license_scan": op7_license_scan,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES = {"op5_quality_rules": quality_sql()}
