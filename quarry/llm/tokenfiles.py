@@ -7,7 +7,7 @@ neighbouring pairs by nonterminals, never across documents.
 
 File format, one Parquet row a block: shard, block, first (ids of the shard before it), docs (the documents' ids),
 starts (int32: where each document begins among the block's ids), at (int32: where it begins in ``seq``), left, right
-(int32: the rules), lens (int32: the rules' expansion lengths), seq (int32 symbols), base (first nonterminal). A document is
+(int32: the rules), lens (int32: the rules' expansion lengths), seq (int32 symbols), base (first nonterminal), size (ids of the block). A document is
 ``seq[at[i]:at[i + 1]]``; any range of it is found through ``lens`` without expanding the rest. All integers little-endian.
 
 Null and empty texts consist of the end id. Rows without an id come first; repeated rows are written each (ties in order of
@@ -19,10 +19,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +32,14 @@ from .common import slices, table, texts_of, written
 
 END = 2
 #: Ids of a block, rounds of pair replacement, pairs replaced in a round, and how often a pair must come.
-BLOCK, ROUNDS, TOP, LEAST = 1 << 21, 5, 8192, 16
+BLOCK, ROUNDS, TOP, LEAST = 1 << 21, 3, 12288, 16
 #: Chunks that a worker remembers.
 CACHE = 1_000_000
 SPACED = re.compile(r"\s*\S+|\s+")
+#: ASCII marks that a run of marks may hold, letters that every Unicode version knows, and the letters that stand for bytes.
+MARKS, PLAIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "\u0250"
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = dict(zip(SHOWN, SHOWN)) | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in SHOWN)}
 UNEVEN = re.compile(r"\s ")
 
 
@@ -57,33 +62,56 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size()
         self.line = self.library.encode("\n", add_special_tokens=False).ids
+        self.atoms: dict[str, list[int]] = {}
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.offs, self.used = np.empty(1 << 20, np.int32), np.zeros(1 << 16, np.int64), 0
 
-    def learn(self, keys: list[str]) -> None:
-        """Encodes new chunks, many in one call: a line end between two chunks stays a token of its own.
+    def atom(self, piece: str) -> list[int]:
+        """Ids of one word or mark as the pattern parts them, by the library's model on its byte letters."""
+        if piece.isascii():  # a blank in front at most
+            letters = "\u0120" + piece[1:] if piece[0] == " " else piece
+        else:
+            letters = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        found = self.atoms[piece] = [x.id for x in self.library.model.tokenize(letters)]
+        return found
+
+    def simple(self, key: str) -> list[int] | None:
+        """Ids of a chunk of lines of one word and marks each; None for any other."""
+        if key.isalpha() and max(key) < PLAIN:
+            return self.atoms.get(" " + key) or self.atom(" " + key)
+        lead, body = ("", key[1:]) if key[:1] == " " else (" ", key)
+        out: list[int] = []
+        for i, line in enumerate(body.split("\n")):
+            word = line.rstrip(MARKS)
+            if not word.isalpha() or max(word) >= PLAIN:
+                return None
+            if i:
+                out += self.line
+            piece = lead + word if i == 0 else word
+            out += self.atoms.get(piece) or self.atom(piece)
+            if len(word) < len(line):
+                out += self.atoms.get(line[len(word) :]) or self.atom(line[len(word) :])
+        return out
 
-        A key with a blank in front stands for the chunk behind it, any other for the chunk of a blank and the key.
-        """
-        plain, rest = [], []
+    def learn(self, keys: list[str]) -> None:
+        """Encodes new chunks. A key with a blank in front stands for the chunk behind it, any other for the chunk of a blank and the key."""
+        if len(self.atoms) > CACHE // 2:
+            self.atoms = {}
+        lists, done, rest = [], [], []
         for key in keys:
-            (rest if not key or key[0].isspace() or key[-1].isspace() or "\n" in key else plain).append(key)
-        found: list[tuple[list[str], np.ndarray, np.ndarray]] = []
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            flat = np.array(self.library.encode("\n".join([" " + x for x in part]), add_special_tokens=False).ids, np.int32)
-            cuts = np.flatnonzero(flat == self.line[0])
-            if len(self.line) != 1 or len(cuts) != len(part) - 1:
-                rest += part
-                continue
-            sizes = np.diff(np.concatenate([[-1], cuts, [len(flat)]])) - 1
-            found.append((part, np.delete(flat, cuts), sizes))
+            ids = self.simple(key)
+            if ids is None:
+                rest.append(key)
+            else:
+                lists.append(ids)
+                done.append(key)
         if rest:
-            lists = [x.ids for x in self.library.encode_batch([x[1:] if x[:1] == " " else " " + x for x in rest], add_special_tokens=False)]
-            found.append((rest, np.array([y for x in lists for y in x], np.int32), np.array([len(x) for x in lists])))
+            lists += [x.ids for x in self.library.encode_batch([x[1:] if x[:1] == " " else " " + x for x in rest], add_special_tokens=False)]
+        sizes = np.array([len(x) for x in lists])
+        found = [(done + rest, np.fromiter(chain.from_iterable(lists), np.int32, sizes.sum()), sizes)]
         for part, flat, sizes in found:
             n, m = len(self.known), len(part)
             while self.used + len(flat) > len(self.ids):
@@ -95,27 +123,48 @@ class Encoder:
             self.used += len(flat)
             self.known.update(zip(part, range(n, n + m)))
 
+    def look_up(self, keys: list[str]) -> np.ndarray:
+        index = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        lost = np.flatnonzero(index < 0)
+        if len(lost):
+            new = list(dict.fromkeys([keys[i] for i in lost.tolist()]))
+            self.learn(new)
+            index[lost] = [self.known[keys[i]] for i in lost.tolist()]
+        return index
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by the end id, and each text's number of ids."""
         if len(self.known) > CACHE:
             self.reset()
-        keys, sizes_ = [], []
-        for text in texts:
+        # Even texts (single blanks between chunks): first chunks here, the rest parted and told apart by Arrow.
+        keys: list[str] = []
+        own, rests = np.zeros(len(texts), np.int64), []
+        for i, text in enumerate(texts):
+            rest = None
             if not text:
-                sizes_.append(0)
-                continue
-            if UNEVEN.search(text) or text[0].isspace() or text[-1].isspace():
+                pass
+            elif UNEVEN.search(text) or text[0].isspace() or text[-1].isspace():
                 parts = [x[1:] if x[0] == " " and " " not in x[1:] else " " + x for x in SPACED.findall(text)]
+                keys += parts
+                own[i] = len(parts)
             else:
-                parts = text.split(" ")
-                parts[0] = " " + parts[0]
-            keys += parts
-            sizes_.append(len(parts))
-        index = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
-        lost = np.flatnonzero(index < 0)
-        if len(lost):
-            self.learn(list(dict.fromkeys([keys[i] for i in lost.tolist()])))
-            index[lost] = [self.known[keys[i]] for i in lost.tolist()]
+                head, blank, tail = text.partition(" ")
+                keys.append(" " + head)
+                own[i] = 1
+                if blank:
+                    rest = tail
+            rests.append(rest)
+        lists = pc.split_pattern(pa.array(rests, pa.string()), " ")
+        more = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        index, parts = self.look_up(keys), self.look_up(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        sizes_ = own + more
+        ends = np.cumsum(sizes_)
+        is_own = np.ones(int(ends[-1]) if len(ends) else 0, bool)
+        is_own[np.arange(more.sum()) + np.repeat(ends - np.cumsum(more), more)] = False
+        both = np.empty(len(is_own), np.int64)
+        both[is_own], both[~is_own] = index, parts
+        index = both
         begin, sizes = self.offs[index], self.offs[index + 1] - self.offs[index]
         ends = np.cumsum(sizes)
         flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)]
@@ -231,7 +280,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, text: str = "tex
     """Encodes, compresses and writes; returns the files' rows, read again."""
     tokenizer = tokenizer or default_tokenizer()
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"shard int, block int, first long, docs array<{kind}>, starts binary, at binary, left binary, right binary, lens binary, seq binary, base int"
+    schema = f"shard int, block int, first long, docs array<{kind}>, starts binary, at binary, left binary, right binary, lens binary, seq binary, base int, size long"
     ordered = docs.select(key, text).repartitionByRange(F.col(key).asc_nulls_first(), F.xxhash64(text)).sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,18 +292,18 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, text: str = "tex
             ids, counts = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
             got = {k: v.astype("<i4").tobytes() for k, v in repair(ids, counts, enc.size).items()}
             names = pa.concat_arrays([x[0] for x in held])
-            row = {"shard": [shard], "block": [state["block"]], "first": [state["first"]]} | {k: [got[k]] for k in ("starts", "at", "left", "right", "lens", "seq")} | {"base": [enc.size]}
+            row = {"shard": [shard], "block": [state["block"]], "first": [state["first"]]} | {k: [got[k]] for k in ("starts", "at", "left", "right", "lens", "seq")} | {"base": [enc.size], "size": [len(ids)]}
             state["block"] += 1
             state["first"] += len(ids)
             held.clear()
-            types = {"shard": pa.int32(), "block": pa.int32(), "first": pa.int64(), "base": pa.int32()}
+            types = {"shard": pa.int32(), "block": pa.int32(), "first": pa.int64(), "base": pa.int32(), "size": pa.int64()}
             cols = {k: pa.array(v, types.get(k, pa.binary())) for k, v in row.items()}
             cols["docs"] = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
-            order = ["shard", "block", "first", "docs", "starts", "at", "left", "right", "lens", "seq", "base"]
+            order = ["shard", "block", "first", "docs", "starts", "at", "left", "right", "lens", "seq", "base", "size"]
             return pa.RecordBatch.from_arrays([cols[k] for k in order], order)
 
         size = 0
-        for batch in slices(batches, text, 2 << 20):
+        for batch in slices(batches, text, 6 << 20):
             ids, counts = enc.encode(texts_of(batch, text))
             held.append((batch.column(0), ids, counts))
             size += len(ids)
@@ -271,7 +320,7 @@ def read_tokens(files: DataFrame, key: str = "doc_id", ids: bool = True) -> Data
     """One row per document: its id, start among all ids, number of ids, crc32 of the ids (and the ids)."""
     kind = files.schema["docs"].dataType.elementType.simpleString()
     # One number a shard comes to the driver, i.e. as many as there are tasks.
-    totals = files.groupBy("shard").agg(F.max(F.col("first") + F.length("starts") * 0 + F.expr("conv(hex(reverse(right(starts, 4))), 16, 10)").cast("long")).alias("n")).orderBy("shard").collect()
+    totals = files.groupBy("shard").agg(F.sum("size").alias("n")).orderBy("shard").collect()
     begin, sum_ = {}, 0
     for r in totals:
         begin[r["shard"]] = sum_
