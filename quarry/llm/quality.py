@@ -92,9 +92,10 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
 def quality_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The measures, ``base_failed``, the names of broken rules and ``kept``."""
-    df = measured(docs, text, keep).withColumn("base_failed", F.expr(BASE_FAILED))
+    # The row number keeps Catalyst from pushing a filter on ``kept`` below the measures, which would copy their expressions into it.
+    df = measured(docs, text, keep).withColumn("_row", F.monotonically_increasing_id()).withColumn("base_failed", F.expr(BASE_FAILED))
     broken = F.array_compact(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in rules]))
-    return df.withColumn("broken", F.array_join(broken, ",")).withColumn("kept", ~F.col("base_failed") & (F.col("broken") == ""))
+    return df.withColumn("broken", F.array_join(broken, ",")).withColumn("kept", ~F.col("base_failed") & (F.col("broken") == "") & (F.col("_row") >= 0)).drop("_row")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
