@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, slices, table, texts_of, written
 
-ORDER, MOST_NODES, HOT, HOT_BYTES = 5, 3_000_000, 150_000, 64
+ORDER, MOST_NODES, HOT, HOT_BYTES = 5, 1_500_000, 60_000, 64
 END_WORD = b""
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,21 +57,20 @@ class Trie:
     """Counts by order, as sorted codes (context bytes and byte) with counts; log10 costs of the deepest nodes are ready."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.levels = [(c.astype(np.uint64), n.astype(np.int64)) for c, n in levels]  # order 0 first
-        codes, counts = self.levels[-1]
-        if len(codes):
-            new = np.concatenate([[True], np.diff(codes >> np.uint64(8)) > 0])
-            which = np.cumsum(new) - 1
-            n, d = np.bincount(which, weights=counts), np.bincount(which)
-            self.costs = np.log10(counts / (n + d)[which])
-        else:
-            self.costs = np.empty(0)
+        self.levels = [(c.astype(np.uint64), np.minimum(n, 1 << 31).astype(np.uint32)) for c, n in levels]  # order 0 first
         self.extra: dict[int, float] = {}
 
     def prepare(self) -> None:
         """A look-up by hash for the deepest nodes; of nodes that share a slot the most frequent holds it, the others are searched."""
         if not hasattr(self, "keys"):
             codes, counts = self.levels[-1]
+            if len(codes):
+                new = np.concatenate([[True], np.diff(codes >> np.uint64(8)) > 0])
+                which = np.cumsum(new) - 1
+                n, d = np.bincount(which, weights=counts), np.bincount(which)
+                self.costs = np.log10(counts / (n + d)[which])
+            else:
+                self.costs = np.empty(0)
             self.bits = max(10, int(1.4 * len(codes)).bit_length())
             by = np.argsort(counts, kind="stable")
             slot = self.slot(codes[by])
@@ -105,7 +104,7 @@ class Trie:
             ruled |= seen.keys()
         else:
             out -= log10(256 - len(ruled))
-        if len(self.extra) > 1_000_000:
+        if len(self.extra) > 500_000:
             self.extra.clear()
         self.extra[code] = out
         return out
@@ -210,9 +209,11 @@ def learn(grams: DataFrame, order: int = ORDER, most: int = MOST_NODES) -> Trie:
         if k < order:
             table_ = grams.groupBy((F.col("code").bitwiseAND((1 << (8 * (k + 1))) - 1)).alias("code")).agg(F.sum("n").alias("n"))
         least = threshold(table_, most) if k >= 2 else 1
-        got = table_.filter(F.col("n") >= least).select("code", "n").toPandas()
-        by = np.argsort(got["code"].to_numpy(np.int64), kind="stable")
-        levels.append((got["code"].to_numpy(np.int64)[by], got["n"].to_numpy(np.int64)[by]))
+        got = table_.filter(F.col("n") >= least).select("code", "n").toArrow()
+        codes, counts = (got[c].to_numpy() for c in ("code", "n"))
+        by = np.argsort(codes, kind="stable")
+        levels.append((codes[by], counts[by]))
+        del got, codes, counts, by
     return Trie(levels[::-1])
 
 
@@ -225,7 +226,7 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", keep: tup
     least = threshold(vocabulary, HOT)
     is_hot = (F.col("n") >= least) & (F.length("word") <= HOT_BYTES)
     hot = {bytes(r["word"]): r["n"] for r in vocabulary.filter(is_hot).toLocalIterator()}
-    shared = docs.sparkSession.sparkContext.broadcast(({w: (n > 0, log10(n + 1)) for w, n in hot.items()}, learn(grams)))
+    shared = docs.sparkSession.sparkContext.broadcast(({w: log10(n + 1) for w, n in hot.items()}, learn(grams)))
     scale = log10(total + distinct + 1)
     df = docs.select(*keep, text)
     at = len(keep)
@@ -242,8 +243,8 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", keep: tup
                 words = tokens(body)
                 found = [get(w) for w in words]
                 end = get(END_WORD)
-                logs = [x[1] for x in found if x] + ([end[1]] if end else [])
-                left = Counter([w for w, x in zip(words, found) if not x]) if len(logs) <= len(words) else {}
+                logs = [x for x in found if x is not None] + ([end] if end is not None else [])
+                left = Counter([w for w, x in zip(words, found) if x is None]) if len(logs) <= len(words) else {}
                 n_tokens.append(len(words) + 1)
                 n_known.append(len(logs))
                 base.append(sum(logs))
