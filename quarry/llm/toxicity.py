@@ -79,18 +79,20 @@ def fit_fm(texts: list[str], labels: np.ndarray, terms: int = TERMS, rank: int =
     bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     if not n or share in (0.0, 1.0):
         return FactorizationMachine(none, bias, np.empty(0), np.empty((0, rank)), bits)
-    parts = [doc_terms(texts[i : i + 2000], bits) for i in range(0, n, 2000)]
-    doc = np.concatenate([d + i * 2000 for i, (d, _) in enumerate(parts)])
-    place = np.concatenate([p for _, p in parts])
-    all_, toxic = np.bincount(place, minlength=1 << bits), np.bincount(place, weights=y[doc], minlength=1 << bits)
+    # Two passes over the sample in small parts: the terms of all its texts never stand in memory together.
+    all_, toxic = np.zeros(1 << bits), np.zeros(1 << bits)
+    for i in range(0, n, 250):
+        d, p = doc_terms(texts[i : i + 250], bits)
+        np.add.at(all_, p, 1)
+        np.add.at(toxic, p, y[i + d])
     # z score of the share of label 1 among a term's texts
     z = np.where(all_ >= min(LEAST_DOCS, max(1, n // 20)), np.abs(toxic - all_ * share) / np.sqrt(np.maximum(all_ * share * (1 - share), 1e-9)), 0)
     z[z < 2.5] = 0
     places = np.sort(np.argsort(-z, kind="stable")[:terms])
     places = places[z[places] > 0]
-    at = np.minimum(np.searchsorted(places, place), max(len(places) - 1, 0))
-    ok = places[at] == place if len(places) else np.zeros(len(place), bool)
-    doc, term = doc[ok], at[ok]
+    chosen = FactorizationMachine(places, 0.0, np.zeros(len(places)), np.zeros((len(places), rank)), bits)
+    parts = [chosen.select(texts[i : i + 250]) for i in range(0, n, 250)]
+    doc, term = np.concatenate([d + 250 * i for i, (d, _) in enumerate(parts)]), np.concatenate([t for _, t in parts])
     rng = np.random.default_rng(seed)
     weights, factors = np.zeros(len(places)), rng.normal(0, 0.01, (len(places), rank))
     begin = np.searchsorted(doc, np.arange(n + 1))
