@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of, written
+from .common import UPPER, slices, table, texts_of, written
 from .textvec import mixed, word_hashes, words_of
 from .toxicity import sample_labelled
 
@@ -52,8 +52,9 @@ def features(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray
         n = len(text.split())
         n_words.append(n)
         marks = len(text) - letters[i] - text.count(" ") - text.count("\n")
-        upper = sum(map(str.isupper, text[:: max(1, len(text) // 400)])) / max(1, len(text[:: max(1, len(text) // 400)]))
-        # shares of marks, of distinct words, of upper-case letters in about 400 characters spread over the whole text
+        raw = text.encode()
+        upper = (len(raw) - len(raw.translate(None, UPPER.encode()))) / max(1, len(text))
+        # shares of marks, of distinct words and of A-Z in the whole text
         form.append([int(min(9, 20 * marks / max(1, len(text)))), int(10 * distinct[i] / max(1, count[i])) + 20, int(10 * upper) + 40])
     at = np.repeat(np.arange(len(texts)), 3)
     extra = mixed(np.array(form, np.uint64).reshape(-1) + np.uint64(7 << 40))
