@@ -211,12 +211,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     rest = _torn(members, found)
     if not rest.isEmpty():
-        rest = written(rest.join(_sketches(texts, rest), ["rep", "mark"]), "neardup-sketched")
+        sketched = _sketches(texts, rest).join(classes.select("rep", "mark", "bands"), ["rep", "mark"])
+        rest = written(rest.join(sketched, ["rep", "mark"]), "neardup-sketched")
         keys = [f"k{i}" for i in range(SKETCH // 64)]
-        left = rest.select("band", "h", F.col("rep").alias("a"), F.col("mark").alias("am"), F.col("c").alias("ac"), *[F.col(k).alias(f"a{k}") for k in keys])
-        right = rest.select("band", "h", F.col("rep").alias("b"), F.col("mark").alias("bm"), F.col("c").alias("bc"), *[F.col(k).alias(f"b{k}") for k in keys])
+        left = rest.select("band", "h", F.col("rep").alias("a"), F.col("mark").alias("am"), F.col("c").alias("ac"), F.col("bands").alias("ab"), *[F.col(k).alias(f"a{k}") for k in keys])
+        right = rest.select("band", "h", F.col("rep").alias("b"), F.col("mark").alias("bm"), F.col("c").alias("bc"), F.col("bands").alias("bb"), *[F.col(k).alias(f"b{k}") for k in keys])
         differ = F.expr(" + ".join(f"bit_count(a{k} ^ b{k})" for k in keys) + f" <= {DIFFER}")
-        across = left.join(right, (left.band == right.band) & (left.h == right.h) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & differ)
+        # A pair of different components shares no bucket that is whole, so its first shared band is always among these rows.
+        first_band = ~F.exists(F.zip_with(F.slice("ab", F.lit(1), left.band), F.slice("bb", F.lit(1), left.band), lambda x, y: x == y), lambda x: x)
+        across = left.join(right, (left.band == right.band) & (left.h == right.h) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & differ & first_band)
         pairs = written(across.select("a", "am", "b", "bm").distinct(), "neardup-across")
         more = written(_verified(written(_alike(pairs, classes), "neardup-pairs"), texts), "neardup-links")
         if not more.isEmpty():
