@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import codec as C
 from ..functions import text as T
 from ..operators import graph as G
+from ..operators import maintenance as M
 from ..sources.domain import CATEGORIES, REF_NOW, SEVERITIES, VIEWS, Project, read
 from ..streaming import events as X
 
@@ -455,3 +457,88 @@ def x_command_dispatch(spark, d):
 def x_connection_active(spark, d):
     step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
     return read(spark, d, "events").select("event_id", F.sum(step).over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("active"))
+
+
+@query("f_xor", "SELECT p_partkey, list_aggregate(list_transform(range(1, length(p_name) + 1), lambda i: lpad(lower(hex(xor(ascii(p_name[i]), ascii('key'[((i - 1) % 3 + 1)::BIGINT])))), 2, '0')), 'string_agg', '') AS hexed, p_name AS back FROM part", views=False)
+def f_xor(spark, d):
+    h = C.xor_hex(F.col("p_name"), "key")
+    return read(spark, d, "part").select("p_partkey", h.alias("hexed"), C.xor_back(h, "key").alias("back"))
+
+
+_HASH = "list_reduce(list_prepend(0::HUGEINT, list_transform(string_split({x}, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (h * 31 + c) % {m})"
+
+
+@query("f_signature", f"SELECT p_partkey, lpad(lower(hex(CAST({_HASH.format(x="'key' || p_name", m=2**64)} AS UBIGINT))), 16, '0') AS signature, lpad(lower(hex(CAST({_HASH.format(x="p_name || p_brand", m=2**64)} AS UBIGINT))), 32, '0') AS derived, true AS verified, CAST({_HASH.format(x='p_name', m=2**32)} % 256 AS INTEGER) AS slot FROM part", views=False)
+def f_signature(spark, d):
+    n = F.col("p_name")
+    signed = C.signature(n, F.lit("key"))
+    return read(spark, d, "part").select("p_partkey", signed.alias("signature"), C.derived_key(n, F.col("p_brand")).alias("derived"), C.verified(n, signed, F.lit("key")).alias("verified"), C.cache_slot(n).alias("slot"))
+
+
+@query("f_safety", """SELECT doc_id, coalesce(NOT (contains(text, chr(39)) OR contains(text, '--') OR contains(text, ';') OR contains(text, '/*') OR contains(text, '*/') OR contains(text, 'DROP') OR contains(text, 'DELETE')), true) AS sql_safe,
+coalesce(NOT regexp_matches(text, '[|&;`$(){}]'), false) AS command_safe, CASE WHEN text IS NULL THEN -1 WHEN strlen(text) > 100 THEN -2 ELSE 0 END AS code, md5(CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END) AS preview FROM documents""", views=False)
+def f_safety(spark, d):
+    t = F.col("text")
+    return read(spark, d, "documents").select("doc_id", C.is_safe_sql(t).alias("sql_safe"), C.is_safe_command(t).alias("command_safe"), C.input_code(t).alias("code"), F.md5(C.preview(t)).alias("preview"))
+
+
+@query("f_request", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method, url AS path, md5(html) AS body, CASE page_id % 3 WHEN 2 THEN 405 ELSE 404 END AS status FROM pages WHERE length(url) > 0 AND NOT regexp_matches(url, '\\s')", views=False)
+def f_request(spark, d):
+    verb = F.expr("CASE page_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END")
+    p = read(spark, d, "pages").filter((F.length("url") > 0) & ~F.col("url").rlike(r"\s"))
+    r = p.select("page_id", C.request(F.concat(verb, F.lit(" "), "url", F.lit(" HTTP/1.1\r\n\r\n"), "html")).alias("r"))
+    return r.select("page_id", "r.method", "r.path", F.md5("r.body").alias("body"), C.route_status(F.col("r.method"), F.col("r.path")).alias("status"))
+
+
+@query("f_line_counts", r"""WITH x AS (SELECT doc_id, text, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(l) END AS total, CASE WHEN text = '' THEN 0 ELSE len(list_filter(l, lambda y: regexp_full_match(y, '[ \t\n\x0B\f\r]*'))) END AS blank, len(list_filter(l, lambda y: regexp_matches(y, '^[ \t\n\x0B\f\r]*(//|#)'))) AS comment FROM x""", views=False)
+def f_line_counts(spark, d):
+    return read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", C.line_counts(F.col("text")).alias("n")).select("doc_id", "n.total", "n.blank", "n.comment")
+
+
+@query("f_path_parts", "SELECT id, regexp_extract(path, '[^/]*$') AS filename, 'c' AS extension, string_split(path, '/')[2] AS module, 'c' AS language FROM files")
+def f_path_parts(spark, d):
+    return Project(spark, d).files().select("id", C.path_parts(F.col("path")).alias("p")).select("id", "p.*")
+
+
+@query("x_log_lines", "SELECT event_id, '[' || strftime(ts, '%Y-%m-%d') || '] ' || CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' ELSE 'UNKNOWN' END || ': ' || props AS line FROM events", views=False)
+def x_log_lines(spark, d):
+    level = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).otherwise(9)
+    return read(spark, d, "events").select("event_id", C.log_line(F.to_date("ts"), level, F.col("props")).alias("line"))
+
+
+@query("h_regressions", """SELECT id, original_error_id FROM (SELECT id, is_regression, last_value(CASE WHEN NOT is_regression THEN id END IGNORE NULLS) OVER (PARTITION BY file_id, severity ORDER BY discovered_at, id
+ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS original_error_id FROM errors) WHERE is_regression""")
+def h_regressions(spark, d):
+    """Regressions with the latest earlier error of the same file and severity that is none."""
+    before = W.partitionBy("file_id", "severity").orderBy("discovered_at", "id").rowsBetween(W.unboundedPreceding, -1)
+    original = F.last(F.when(~F.col("is_regression"), F.col("id")), ignorenulls=True).over(before)
+    return Project(spark, d).errors().withColumn("original_error_id", original).filter("is_regression").select("id", "original_error_id")
+
+
+@query("m_insert_or_ignore", "SELECT id, name FROM symbols WHERE id % 3 <> 0 UNION ALL SELECT id, upper(name) FROM symbols WHERE id % 3 = 0", views=True)
+def m_insert_or_ignore(spark, d):
+    s = Project(spark, d).symbols().select("id", "name")
+    return M.insert_or_ignore(s.filter("id % 3 != 0"), s.withColumn("name", F.upper("name")), "id")
+
+
+@query("m_update_metrics", "SELECT id, CASE WHEN id % 4 = 0 AND id % 8 <> 0 THEN complexity + 1 ELSE complexity END AS complexity, kind FROM symbols")
+def m_update_metrics(spark, d):
+    s = Project(spark, d).symbols().select("id", "complexity", "kind")
+    return M.updated(s, s.filter("id % 4 = 0").selectExpr("id", "CASE WHEN id % 8 != 0 THEN complexity + 1 END AS complexity"), "id")
+
+
+@query("m_set_null", f"SELECT id, CASE WHEN file_id <> {FILE} THEN file_id END AS file_id FROM errors")
+def m_set_null(spark, d):
+    p = Project(spark, d)
+    return M.nulled(p.errors().select("id", "file_id"), "file_id", p.files().filter(F.col("id") == FILE))
+
+
+@query("m_reindex", "SELECT id, file_id, CASE WHEN file_id % 4 = 0 THEN upper(name) ELSE name END AS name FROM symbols WHERE file_id % 4 <> 0 OR file_id % 8 <> 0")
+def m_reindex(spark, d):
+    """Files 0 mod 4 have new content (their symbols are in capitals), those 0 mod 8 are gone; the rest stays as it was."""
+    p = Project(spark, d)
+    old = p.symbols().select("id", "file_id", "name")
+    now = p.symbols().select("file_id").distinct().withColumn("h", F.sha2(F.col("file_id").cast("string"), 256))
+    later = now.filter("file_id % 8 != 0").withColumn("h", F.when(F.col("file_id") % 4 == 0, F.lit("new")).otherwise(F.col("h")))
+    return M.reindexed(old, old.filter("file_id % 8 != 0").withColumn("name", F.upper("name")), M.changed(now, later, "file_id", "h"), "file_id")

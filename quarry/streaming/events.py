@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -31,8 +30,8 @@ def latest_by_key(ops: DataFrame, key: str, order: list[str], value: str) -> Dat
 
 def cache_state(ops: DataFrame) -> DataFrame:
     """(key, value) after a log of (seq, op, key, value): set writes, delete removes the key, clear removes all before it."""
-    cut = F.coalesce(F.max(F.when(F.col("op") == "clear", F.col("seq"))).over(W.partitionBy(F.lit(1))), F.lit(-1))
-    live = ops.withColumn("_cut", cut).filter((F.col("seq") > F.col("_cut")) & F.col("op").isin("set", "delete"))
+    cut = ops.agg(F.coalesce(F.max(F.when(F.col("op") == "clear", F.col("seq"))), F.lit(-1)).alias("_cut"))  # one row
+    live = ops.filter(F.col("op").isin("set", "delete")).join(F.broadcast(cut), F.col("seq") > F.col("_cut"))
     last = live.groupBy("key").agg(F.max_by(F.struct("op", "value"), "seq").alias("x"))
     return last.filter("x.op = 'set'").select("key", "x.value")
 

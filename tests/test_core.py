@@ -6,9 +6,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import codec as C
 from quarry.functions import text as T
 from quarry.operators import graph as G
+from quarry.operators import maintenance as M
 from quarry.plans.queries import ORACLES, QUERIES
+from quarry.sources import files as S
 from quarry.streaming import events as X
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +73,55 @@ def test_cache_and_stream(spark, tmp_path):
     assert rows(spark.table("counts")) == rows(X.windowed_counts(spark.read.parquet(src)))
 
 
+def test_codec(spark):
+    L = F.lit
+    assert one(spark, C.xor_hex(L("abcd"), "k1")) == bytes(a ^ b for a, b in zip(b"abcd", b"k1k1")).hex() and one(spark, C.xor_hex(L(""), "k")) == ""
+    assert one(spark, C.xor_back(C.xor_hex(L("a~ z"), "key"), "key")) == "a~ z"
+    assert one(spark, C.hash_hex(L("ab"))) == f"{97 * 31 + 98:016x}" and one(spark, C.derived_key(L("a"), L(None).cast("string"))) == f"{97:032x}"
+    assert one(spark, C.verified(L("a"), L(None).cast("string"), L("k"))) is False
+    assert one(spark, C.spaced_hex("p", L(bytearray(b"\x01\xff")))) == "p: 01 ff "
+    assert [one(spark, C.is_safe_sql(L(x).cast("string"))) for x in (None, "a--b", "drop", "DROP")] == [True, False, True, False]
+    assert [one(spark, C.is_safe_command(L(x).cast("string"))) for x in (None, "ls -l", "a|b", "$x")] == [False, True, False, False]
+    assert [one(spark, C.product_fits(L(a), L(2**62))) for a in (3, 4)] == [True, False] and one(spark, C.within(L(8), L(5), L(4))) is False
+    assert [one(spark, C.input_code(L(x).cast("string"))) for x in (None, "a" * 101, "a")] == [-1, -2, 0]
+    assert tuple(one(spark, C.request(L("GET /a HTTP\r\nh: 1\r\n\r\nx\r\n")))) == ("GET", "/a", "x\r\n") and one(spark, C.request(L("GET /a"))) is None
+    assert [one(spark, C.route_status(L(m), L(p))) for m, p in (("GET", "/status"), ("GET", "/x"), ("POST", "/login"), ("PUT", "/x"))] == [200, 404, None, 405]
+    assert one(spark, C.expand_env(L("a ${X} ${Y} ${Z:-d}"), {"X": "1"})) == "a 1  d"
+    assert one(spark, C.log_line(L("t"), L(1), L("m"))) == "[t] INFO: m"
+    assert tuple(one(spark, C.path_parts(L("src/lcd/a.b.py")))) == ("a.b.py", "py", "lcd", "python") and tuple(one(spark, C.path_parts(L("Makefile")))) == ("Makefile", None, None, None)
+    assert tuple(one(spark, C.line_counts(L("a\n\n// c\nb\n")))) == (4, 1, 1, 2) and tuple(one(spark, C.line_counts(L("")))) == (0, 0, 0, 0)
+
+
+def test_files(spark, tmp_path):
+    lines = spark.createDataFrame([(1, "# x = 1"), (2, "a = 1"), (3, ""), (4, "a=2 z"), (5, "zz = 3"), (6, "nothing")], "line_no long, value string")
+    assert rows(S.settings(S.pairs(lines), {"a": "0", "b": "9"})) == [("a", "2"), ("b", "9")]
+    assert rows(S.cache_lines(spark.createDataFrame([("k=v=w",), ("none",)], "value string"))) == [("k", "v=w", 3600)]
+    events = spark.createDataFrame([(1, '{"type": "result", "cost_usd": 0.5}'), (2, "oops")], "seq long, value string")
+    assert sorted((r.seq, r.e and r.e.type, r.bad) for r in S.event_lines(events).collect()) == [(1, "result", None), (2, None, "oops")]
+    tree = tmp_path / "tree"
+    (tree / "src" / "m").mkdir(parents=True), (tree / "skip").mkdir()
+    (tree / "src" / "m" / "a.py").write_text("class A:\n    def f(self, x):\n        return 1 if x and x else 2\n")
+    (tree / "src" / "m" / "b.c").write_text("#define N 3\nstruct p {\n int x;\n};\nstatic int g(int a) {\n if (a && N) { return 1; }\n return 0;\n}\n")
+    (tree / "src" / "m" / "bad.py").write_text("def (")
+    (tree / "src" / "m" / "note.txt").write_text("x")
+    (tree / "src" / "m" / "long.c").write_text("x" * 5000)
+    (tree / "skip" / "c.c").write_text("int z(void) { }")
+    found = S.source_files(spark, str(tree), ("skip/**",), 4000)
+    assert sorted((r.path, r.module, r.language) for r in found.collect()) == [("src/m/a.py", "m", "python"), ("src/m/b.c", "m", "c"), ("src/m/bad.py", "m", "python")]
+    assert rows(S.symbols(found)) == [("src/m/a.py", "A", "class", 1, 3, 2), ("src/m/a.py", "f", "function", 2, 3, 2), ("src/m/b.c", "N", "macro", 1, 1, 1), ("src/m/b.c", "g", "function", 5, 8, 3), ("src/m/b.c", "p", "struct", 2, 4, 1)]
+
+
+def test_maintenance(spark, tmp_path):
+    t = spark.createDataFrame([(1, "a"), (2, None)], "id long, v string")
+    M.dump({"t": t}, str(tmp_path / "dump"))
+    assert sorted(rows(M.restore(spark, str(tmp_path / "dump"), ["t"])["t"]), key=str) == [(1, "a"), (2, None)]
+    with pytest.raises(Exception, match="exists"):
+        M.dump({"t": t}, str(tmp_path / "dump"))
+    assert M.compacted(t.repartition(4), str(tmp_path / "one"), 1).count() == 2 and len(list((tmp_path / "one").glob("*.parquet"))) == 1
+    later = spark.createDataFrame([(2, "b"), (3, "c")], "id long, v string")
+    assert rows(M.changed(t, later, "id", "v")) == [(1, "removed"), (2, "changed"), (3, "added")]
+
+
 @pytest.fixture(scope="session")
 def duck():
     con = duckdb.connect()
