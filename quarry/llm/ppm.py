@@ -224,7 +224,7 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", keep: tup
     grams = written(counted.filter(F.col("code").isNotNull()).groupBy("code").agg(F.sum("n").alias("n")), "ppm-grams")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = threshold(vocabulary, HOT)
-    is_hot = (F.col("n") >= least) & (F.length("word") <= HOT_BYTES)
+    is_hot = ((F.col("n") >= least) & (F.length("word") <= HOT_BYTES)) | (F.col("word") == F.lit(END_WORD))  # the end closes every text
     hot = {bytes(r["word"]): r["n"] for r in vocabulary.filter(is_hot).toLocalIterator()}
     shared = docs.sparkSession.sparkContext.broadcast(({w: log10(n + 1) for w, n in hot.items()}, learn(grams)))
     scale = log10(total + distinct + 1)

@@ -105,6 +105,16 @@ def test_ppm(docs, empty):
     assert ppm.adaptive_length("abababababab") > ppm.adaptive_length("akzbqxnmwpcd")
 
 
+def test_ppm_end_word(docs, monkeypatch):
+    """The end counts as a word also when no word is broadcast."""
+    train = docs.filter("doc_id < 8")
+    want = by_id(ppm.score_texts(docs, train))
+    monkeypatch.setattr(ppm, "HOT", 0)
+    got = by_id(ppm.score_texts(docs, train))
+    for i in want:
+        assert got[i].n_known == want[i].n_known and got[i].base_score == pytest.approx(want[i].base_score)
+
+
 def test_token_files(docs, empty):
     enc = tokenfiles.encoder(tokenfiles.default_tokenizer())
     files = tokenfiles.write_tokens(docs)
