@@ -6,8 +6,9 @@ d its number of different bytes; otherwise the model escapes with d / (n + d) to
 already ruled out are excluded, down to equal shares of the bytes not ruled out. ``adaptive_length`` learns within one text
 instead. The score is the log10 probability of the whole text and its end.
 
-``MOST_NODES`` bounds the broadcast model: an order with more nodes keeps those seen most often (one count threshold from the
-histogram of all counts), and the rest escapes; what is counted covers all training texts.
+``MOST_NODES`` bounds what is broadcast, never the model: the costs of the most frequent whole contexts with a byte (one count
+threshold from the histogram of all counts), each from the full counts of its context. All other codes of a text are joined
+with the counted table; those that were not counted escape through joins with the contexts of each order.
 
 The base score is that of a word unigram. Counts of the most frequent words are broadcast (at most ``HOT`` words of at most 64
 bytes); the rest is joined. Null and empty texts consist of the end. Without training texts all words are unknown and all
@@ -22,7 +23,7 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, slices, table, texts_of, written
@@ -53,78 +54,45 @@ def gram_codes(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.nda
     return code[keep], sizes
 
 
-class Trie:
-    """Counts by order, as sorted codes (context bytes and byte) with counts; log10 costs of the deepest nodes are ready."""
+class Costs:
+    """log10 costs of the most frequent whole contexts with a byte, looked up by hash; the others are told apart."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.levels = [(c.astype(np.uint64), np.minimum(n, 1 << 31).astype(np.uint32)) for c, n in levels]  # order 0 first
-        self.extra: dict[int, float] = {}
+    def __init__(self, codes: np.ndarray, costs: np.ndarray, order: int = ORDER):
+        by = np.argsort(codes, kind="stable")
+        self.codes, self.costs, self.order = codes[by].astype(np.uint64), costs[by].astype(np.float64), order
 
     def prepare(self) -> None:
-        """A look-up by hash for the deepest nodes; of nodes that share a slot the most frequent holds it, the others are searched."""
+        """Of codes that share a slot the one with the least cost holds it, the others are searched."""
         if not hasattr(self, "keys"):
-            codes, counts = self.levels[-1]
-            if len(codes):
-                new = np.concatenate([[True], np.diff(codes >> np.uint64(8)) > 0])
-                which = np.cumsum(new) - 1
-                n, d = np.bincount(which, weights=counts), np.bincount(which)
-                self.costs = np.log10(counts / (n + d)[which])
-            else:
-                self.costs = np.empty(0)
-            self.bits = max(10, int(1.4 * len(codes)).bit_length())
-            by = np.argsort(counts, kind="stable")
-            slot = self.slot(codes[by])
+            self.bits = max(10, int(1.4 * len(self.codes)).bit_length())
+            by = np.argsort(self.costs, kind="stable")
+            slot = self.slot(self.codes[by])
             self.keys, self.at = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << self.bits, np.int32)
-            self.keys[slot], self.at[slot] = codes[by], by
+            self.keys[slot], self.at[slot] = self.codes[by], by
             self.costs = np.append(self.costs, 0.0)
 
     def slot(self, codes: np.ndarray) -> np.ndarray:
         return ((codes * GOLD) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def escaped(self, code: int) -> float:
-        """log10 probability of a byte by escapes with exclusion, from the longest context down."""
-        found = self.extra.get(code)
-        if found is not None:
-            return found
-        symbol, out, ruled = code & 0xFF, 0.0, set()
-        for order in range(len(self.levels) - 1, -1, -1):
-            codes, counts = self.levels[order]
-            context = (code >> 8) & ((1 << (8 * order)) - 1)
-            a, b = np.searchsorted(codes, np.array([context << 8, (context + 1) << 8], np.uint64))
-            if a == b:
-                continue
-            seen = {int(s): int(c) for s, c in zip(codes[a:b] & np.uint64(0xFF), counts[a:b]) if int(s) not in ruled}
-            if not seen:
-                continue
-            n, d = sum(seen.values()), len(seen)
-            if symbol in seen:
-                out += log10(seen[symbol] / (n + d))
-                break
-            out += log10(d / (n + d))
-            ruled |= seen.keys()
-        else:
-            out -= log10(256 - len(ruled))
-        if len(self.extra) > 500_000:
-            self.extra.clear()
-        self.extra[code] = out
-        return out
-
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: list[str]) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
+        """Costs of the codes held, and by text the other codes with how often they come."""
         self.prepare()
-        codes, sizes = gram_codes(texts, len(self.levels) - 1)
+        codes, sizes = gram_codes(texts, self.order)
         slot = self.slot(codes)
         cost = self.costs[self.at[slot]]
         lost = np.flatnonzero(self.keys[slot] != codes)
-        if len(lost):
-            new, back = np.unique(codes[lost], return_inverse=True)
-            deep = self.levels[-1][0]
-            place = np.minimum(np.searchsorted(deep, new), max(len(deep) - 1, 0))
-            known = deep[place] == new if len(deep) else np.zeros(len(new), bool)
-            value = np.where(known, self.costs[place] if len(deep) else 0.0, 0.0)
-            for i in np.flatnonzero(~known):
-                value[i] = self.escaped(int(new[i]))
-            cost[lost] = value[back]
-        return np.add.reduceat(cost, np.cumsum(sizes) - sizes) if len(texts) else np.empty(0)
+        sought = codes[lost]
+        place = np.minimum(np.searchsorted(self.codes, sought), max(len(self.codes) - 1, 0))
+        known = self.codes[place] == sought if len(self.codes) else np.zeros(len(sought), bool)
+        cost[lost] = np.where(known, self.costs[place], 0.0)
+        rest, ends = lost[~known], np.cumsum(sizes)
+        doc, code = np.searchsorted(ends, rest, side="right"), codes[rest]
+        by = np.lexsort((code, doc))
+        doc, code = doc[by], code[by]
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (code[1:] != code[:-1]), [True]])) if len(doc) else np.zeros(1, np.int64)
+        offsets = pa.array(np.searchsorted(doc[edge[:-1]], np.arange(len(texts) + 1)), pa.int32())
+        others = pa.ListArray.from_arrays(offsets, pa.array(code[edge[:-1]].astype(np.int64)))
+        return np.add.reduceat(cost, ends - sizes) if len(texts) else np.empty(0), others, pa.ListArray.from_arrays(offsets, pa.array(np.diff(edge), pa.int64()))
 
 
 def adaptive_length(text: str, order: int = ORDER) -> float:
@@ -202,19 +170,45 @@ def threshold(counted: DataFrame, most: int) -> int:
     return 1
 
 
-def learn(grams: DataFrame, order: int = ORDER, most: int = MOST_NODES) -> Trie:
-    levels = []
-    table_ = grams
+def low_bytes(code: str, n: int) -> Column:
+    return F.col(code).bitwiseAND((1 << (8 * n)) - 1)
+
+
+def code_costs(grams: DataFrame) -> DataFrame:
+    """(code, n, cost) of each counted code: n / (count of its context + its different bytes)."""
+    by = grams.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("_n"), F.count("*").alias("_d"), F.collect_list(F.struct("code", "n")).alias("x"))  # at most 256
+    return by.select("_n", "_d", F.explode("x").alias("x")).select("x.code", "x.n", F.log10(F.col("x.n") / (F.col("_n") + F.col("_d"))).alias("cost"))
+
+
+def escaped_costs(wanted: DataFrame, grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """(code, cost) of codes that were not counted, by escapes with exclusion from the longest counted context down.
+
+    What follows a context also follows its shorter ones, so the bytes ruled out at an order are those of the context one byte
+    longer: ``_x`` is what they count for in the shorter context.
+    """
+    found, nodes = wanted.select("code"), grams
     for k in range(order, -1, -1):
-        if k < order:
-            table_ = grams.groupBy((F.col("code").bitwiseAND((1 << (8 * (k + 1))) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-        least = threshold(table_, most) if k >= 2 else 1
-        got = table_.filter(F.col("n") >= least).select("code", "n").toArrow()
-        codes, counts = (got[c].to_numpy() for c in ("code", "n"))
-        by = np.argsort(codes, kind="stable")
-        levels.append((codes[by], counts[by]))
-        del got, codes, counts, by
-    return Trie(levels[::-1])
+        shorter = written(nodes.groupBy(low_bytes("code", k).alias("code")).agg(F.sum("n").alias("n")), "ppm-order") if k else None
+        asked = found.select(low_bytes("code", k + 1).alias("code")).distinct()
+        follow = nodes.withColumn("_c", F.shiftright("code", 8)).join(asked.select(F.shiftright("code", 8).alias("_c")).distinct(), "_c", "left_semi")
+        if k:
+            less = follow.select(low_bytes("code", k).alias("code")).distinct().join(shorter.withColumnRenamed("n", "_m"), "code")
+            follow = follow.withColumn("_s", low_bytes("code", k)).join(less.withColumnRenamed("code", "_s"), "_s")
+        else:
+            follow = follow.withColumn("_m", F.lit(0).cast("long"))
+        contexts = follow.groupBy("_c").agg(F.sum("n").alias(f"n{k}"), F.count("*").alias(f"d{k}"), F.sum("_m").alias(f"x{k}"))
+        counts = nodes.join(asked, "code", "left_semi").select(F.col("code").alias("_b"), F.col("n").alias(f"c{k}"))
+        found = found.withColumn("_c", F.shiftright(low_bytes("code", k + 1), 8)).withColumn("_b", low_bytes("code", k + 1))
+        if k < 2:  # at most 65536 rows
+            contexts, counts = F.broadcast(contexts), F.broadcast(counts)
+        found = written(found.join(contexts, "_c", "left").join(counts, "_b", "left").drop("_c", "_b"), "ppm-escapes")
+        nodes = shorter
+    cost = -F.log10(F.lit(256) - F.coalesce("d0", F.lit(0)))
+    for k in range(order + 1):
+        n, d = (F.col(f"{x}{k}") - (F.coalesce(f"{y}{k + 1}", F.lit(0)) if k < order else 0) for x, y in ("nx", "dd"))
+        here = F.when(F.col(f"c{k}").isNotNull(), F.log10(F.col(f"c{k}") / (n + d))).otherwise(F.log10(d / (n + d)) + cost)
+        cost = F.when(F.col(f"d{k}").isNull() | (d == 0), cost).otherwise(here)
+    return found.select("code", cost.alias("cost"))
 
 
 def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -226,15 +220,18 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", keep: tup
     least = threshold(vocabulary, HOT)
     is_hot = ((F.col("n") >= least) & (F.length("word") <= HOT_BYTES)) | (F.col("word") == F.lit(END_WORD))  # the end closes every text
     hot = {bytes(r["word"]): r["n"] for r in vocabulary.filter(is_hot).toLocalIterator()}
-    shared = docs.sparkSession.sparkContext.broadcast(({w: log10(n + 1) for w, n in hot.items()}, learn(grams)))
+    costs = written(code_costs(grams), "ppm-costs")
+    frequent = costs.filter(F.col("n") >= threshold(costs, MOST_NODES)).select("code", "cost").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(({w: log10(n + 1) for w, n in hot.items()}, Costs(*(frequent[c].to_numpy() for c in ("code", "cost")))))
+    del frequent
     scale = log10(total + distinct + 1)
     df = docs.select(*keep, text)
     at = len(keep)
-    names = [*keep, "n_tokens", "_known", "_base", "score", "_rare", "_times"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:at]) + ", n_tokens long, _known long, _base double, score double, _rare array<binary>, _times array<int>"
+    names = [*keep, "n_tokens", "_known", "_base", "_score", "_rare", "_times", "_codes", "_code_times"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:at]) + ", n_tokens long, _known long, _base double, _score double, _rare array<binary>, _times array<int>, _codes array<long>, _code_times array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, trie = shared.value
+        known, model = shared.value
         get = known.get
         for batch in slices(batches, text):
             bodies = texts_of(batch, text)
@@ -250,14 +247,19 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", keep: tup
                 base.append(sum(logs))
                 rare.append(list(left))
                 times.append(list(left.values()))
-            columns = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(trie.score(bodies)), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
+            score, codes, code_times = model.score(bodies)
+            columns = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())), codes, code_times]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], names)
 
     part = written(df.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "ppm-scores")
     words = part.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("x")).select("_row", F.col("x._rare").alias("word"), F.col("x._times").alias("times"))
     joined = words.join(vocabulary.filter(~is_hot), "word").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_more"), F.sum("times").alias("_also"))
-    out = part.drop("_rare", "_times").join(joined, "_row", "left").fillna({"_more": 0.0, "_also": 0})
-    return out.select(*keep, "n_tokens", (F.col("_known") + F.col("_also")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("_base") + F.col("_more") - F.col("n_tokens") * scale).alias("base_score"), "score")
+    others = part.select("_row", F.explode(F.arrays_zip("_codes", "_code_times")).alias("x")).select("_row", F.col("x._codes").alias("code"), F.col("x._code_times").alias("times"))
+    asked = written(others.select("code").distinct().join(costs.select("code", "cost"), "code", "left"), "ppm-asked")
+    priced = asked.filter(F.col("cost").isNotNull()).unionByName(escaped_costs(asked.filter(F.col("cost").isNull()), grams))
+    spelled = others.join(priced, "code").groupBy("_row").agg(F.sum(F.col("times") * F.col("cost")).alias("_spelled"))
+    out = part.drop("_rare", "_times", "_codes", "_code_times").join(joined, "_row", "left").join(spelled, "_row", "left").fillna({"_more": 0.0, "_also": 0, "_spelled": 0.0})
+    return out.select(*keep, "n_tokens", (F.col("_known") + F.col("_also")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("_base") + F.col("_more") - F.col("n_tokens") * scale).alias("base_score"), (F.col("_score") + F.col("_spelled")).alias("score"))
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

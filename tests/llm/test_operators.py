@@ -105,6 +105,46 @@ def test_ppm(docs, empty):
     assert ppm.adaptive_length("abababababab") > ppm.adaptive_length("akzbqxnmwpcd")
 
 
+def test_ppm_whole_model(docs, monkeypatch):
+    """What is broadcast does not change a score: nothing, a little or all of the model."""
+    train = docs.filter("doc_id < 8")
+    want = by_id(ppm.score_texts(docs, train))
+    for most in (0, 20):
+        monkeypatch.setattr(ppm, "MOST_NODES", most)
+        got = by_id(ppm.score_texts(docs, train))
+        for i in want:
+            assert got[i].score == pytest.approx(want[i].score)
+
+
+def test_ppm_large_model(spark):
+    """More codes than are broadcast, nearly all of which come once."""
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)[rng.integers(0, 27, 2_200_000)].tobytes().decode()
+    asked = letters[1000:1040] + letters[500_000:500_030]
+    data = [bytes(ppm.ORDER) + x.encode() + b"\0" for x in (letters, asked)]
+    assert len(np.unique(ppm.gram_codes([letters])[0])) > 1_500_000
+    out, n = 0.0, ppm.ORDER
+    wanted = [{data[1][i - k : i] for i in range(n, len(data[1]))} for k in range(n + 1)]
+    seen = [{} for _ in range(n + 1)]
+    for k in range(n + 1):
+        for i in range(n, len(data[0])):
+            c = data[0][i - k : i]
+            if c in wanted[k]:
+                seen[k].setdefault(c, Counter())[data[0][i]] += 1
+    for i in range(n, len(data[1])):
+        ruled = set()
+        for k in range(n, -1, -1):
+            here = {s: c for s, c in seen[k].get(data[1][i - k : i], {}).items() if s not in ruled}
+            if here and data[1][i] in here:
+                out += math.log10(here[data[1][i]] / (sum(here.values()) + len(here)))
+                break
+            if here:
+                out += math.log10(len(here) / (sum(here.values()) + len(here)))
+                ruled |= here.keys()
+    df = lambda x: spark.createDataFrame([(1, x)], "doc_id long, text string")
+    assert ppm.score_texts(df(asked), df(letters)).first().score == pytest.approx(out)
+
+
 def test_ppm_end_word(docs, monkeypatch):
     """The end counts as a word also when no word is broadcast."""
     train = docs.filter("doc_id < 8")
