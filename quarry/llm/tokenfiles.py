@@ -1,7 +1,8 @@
 """Token files by Re-Pair grammar compression.
 
 Texts are encoded with the tokenizers library, in chunks that begin at runs of white space (the byte-level pattern never joins
-characters before such a run with it); an end id closes each document. Documents are range-partitioned and sorted by id; each
+characters before such a run with it, and special tokens, which hold no white space, are matched as the library does by
+default); an end id closes each document. Documents are range-partitioned and sorted by id; each
 partition is a shard of blocks of about ``BLOCK`` ids. In a block, rounds of Re-Pair replace the most frequent
 neighbouring pairs by nonterminals, never across documents.
 
@@ -59,7 +60,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size()
         self.line = self.library.encode("\n", add_special_tokens=False).ids
         self.atoms: dict[str, list[int]] = {}

@@ -172,6 +172,17 @@ def test_token_files(docs, empty):
     assert tokenfiles.read_tokens(tokenfiles.write_tokens(empty)).count() == 0
 
 
+def test_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenfiles.default_tokenizer())
+    end = "<|endoftext|>"
+    texts = [end, f"a{end}b", f"{end} {end}", f"a  {end}\n{end} \n b", f" x {end}y {end}{end}!", f"one two {end} three", f"word,\n{end}", f"{end} ", "<|endoftext |>"]
+    got = by_id(tokenfiles.read_tokens(tokenfiles.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))))
+    for i, t in enumerate(texts):
+        assert got[i].ids == library.encode(t, add_special_tokens=False).ids + [tokenfiles.END]
+
+
 def test_quality(docs, empty):
     got = by_id(quality.quality_rules(docs))
     assert got[0].n_words == 0 and got[0].base_failed and not got[0].kept and got[4].kept and got[11].n_dup_lines == 49
