@@ -1,12 +1,12 @@
 """MinHash near-duplicates: many universal hash minima, banding, signature verification, exact verification, components.
 
 Words are parted by \\x20 and \\x09-\\x0D after lower-casing A-Z; a document's set holds its distinct 5-word shingles (all its words
-as one with fewer). Documents of equal sets form a class, represented by its smallest id. ``BANDS`` bands of ``ROWS``
-minima miss a pair at similarity 0.85 with a probability below 1e-8. In a band's bucket no pairs are listed at first: each
+as one with fewer). Documents of equal sets form a class, represented by its smallest id. Bands of minima, as many as the
+least similarity asks for (``Plan``), miss a pair at it with a probability below 1e-8. In a band's bucket no pairs are listed at first: each
 class is compared with the smallest id that it meets in any bucket. Then only pairs of one bucket that are still in
 different components are compared, until none is left; so no candidate is dropped, whatever a bucket's size. A pair first
-needs agreeing minima (their lowest bytes; a pair at 0.85 fails with probability about 1e-6), for the last pairs also like
-sketches of 1024 further minima (again about 1e-6; they part 0.85 from 0.7 without listing the pairs); then its whole sets are compared.
+needs agreeing minima (their lowest bytes; a pair at the least similarity fails with probability about 1e-6), for the last pairs also like
+sketches of 1024 further minima (again about 1e-6; at 0.85 they part it from 0.7 without listing the pairs); then its whole sets are compared.
 
 Null texts and texts without words have empty sets and link with nothing. Rows without an id get no component and are kept;
 rows that repeat an id are the same document. An empty table gives an empty result; other columns are ignored.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import ceil, floor, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +27,32 @@ from .common import slices, table, texts_of, written
 from .components import components
 from .textvec import MIX, mixed
 
-WINDOW, BANDS, ROWS, SIMILAR = 5, 40, 6, 85
-#: Share of agreeing minima that a pair needs before its sets are compared.
-AGREE = 0.74
+WINDOW, SIMILAR = 5, 85
 #: Turns in which members of torn buckets meet random others, before the pairs left are listed.
 MEETINGS = 1
-#: Bits of the sketch of documents in torn buckets, one of each of so many further minima, and the most that may differ: at
-#: similarity 0.85 about 77 +- 8 differ, at 0.7 about 154 +- 11.
-SKETCH, DIFFER = 1024, 115
-_rng = np.random.default_rng(20)
-FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADDS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-SKETCH_FACTORS = _rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SKETCH_ADDS = _rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
+#: Bits of the sketch of documents in torn buckets, one of each of so many further minima.
+SKETCH = 1024
+
+
+class Plan:
+    """Bands, hashes and bounds for a least similarity in hundredths: 40 bands of 6 minima at 85, 48 of 5 at 80."""
+
+    def __init__(self, similar: int = SIMILAR):
+        s = similar / 100
+        self.similar, self.rows = similar, 100 // (100 - similar)
+        self.bands = ceil(log(6e-9) / log(1 - s**self.rows))
+        minima = self.bands * self.rows
+        # share of agreeing minima that a pair needs before its sets are compared, and the most bits of the sketch that may
+        # differ (at similarity 0.85 about 77 +- 8 do, at 0.7 about 154 +- 11)
+        self.agree = floor(100 * (s - 4.77 * sqrt(s * (1 - s) / minima))) / 100
+        half = (1 - s) / 2
+        self.differ = ceil(SKETCH * half + 4.53 * sqrt(SKETCH * half * (1 - half)))
+        rng = np.random.default_rng(20)
+        draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        self.factors, self.adds = draw(minima) * np.uint64(2) + np.uint64(1), draw(minima)
+        self.sketch_factors, self.sketch_adds = draw(SKETCH) * np.uint64(2) + np.uint64(1), draw(SKETCH)
+
+
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[32, *range(9, 14)]] = True
 
@@ -76,7 +90,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def minima(shingles: np.ndarray, factors: np.ndarray = FACTORS, adds: np.ndarray = ADDS) -> np.ndarray:
+def minima(shingles: np.ndarray, factors: np.ndarray, adds: np.ndarray) -> np.ndarray:
     """The least value of each universal hash (a x + b mod 2^64, upper half) over a set."""
     best = np.full(len(factors), np.uint64(0xFFFFFFFFFFFFFFFF))
     with np.errstate(over="ignore"):
@@ -89,7 +103,7 @@ def mark(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def signatures(docs: DataFrame, plan: Plan, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n, mark of the set, band hashes, low bytes of the minima) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,12 +114,12 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
                 if not len(s):
                     marks.append(None), bands.append(None), sigs.append(None)
                     continue
-                m = minima(s)
+                m = minima(s, plan.factors, plan.adds)
                 marks.append(mark(s))
                 sigs.append((m & np.uint32(255)).astype(np.uint8).tobytes())
-                rows = m.reshape(BANDS, ROWS).astype(np.uint64)
-                h = np.arange(BANDS, dtype=np.uint64)
-                for r in range(ROWS):
+                rows = m.reshape(plan.bands, plan.rows).astype(np.uint64)
+                h = np.arange(plan.bands, dtype=np.uint64)
+                for r in range(plan.rows):
                     h = mixed(h * MIX + rows[:, r])
                 bands.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n", "mark", "bands", "sig"])
@@ -113,22 +127,22 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n long, mark binary, bands array<long>, sig binary")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose minima agree often enough."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("mark").alias(f"{x}m"), F.col("n").alias(f"{x}n"), F.col("sig").alias(f"{x}s"))
     both = pairs.join(side("a"), ["a", "am"]).join(side("b"), ["b", "bm"])
-    both = both.filter(100 * F.least("an", "bn") >= SIMILAR * F.greatest("an", "bn"))
+    both = both.filter(100 * F.least("an", "bn") >= plan.similar * F.greatest("an", "bn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
-                yield batch.filter(pa.array((a == b).mean(1) >= AGREE)).select([0, 1, 2, 3])
+                yield batch.filter(pa.array((a == b).mean(1) >= plan.agree)).select([0, 1, 2, 3])
 
     return both.select("a", "am", "b", "bm", "as", "bs").mapInArrow(run, "a long, am binary, b long, bm binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """Of pairs (a, am, b, bm), those whose whole sets are similar enough; texts travel, sets are made where they are compared."""
     wanted = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
     texts = docs.join(wanted, F.col("_doc") == F.col("_id"), "left_semi").distinct()
@@ -146,7 +160,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     held = (at[i], shingle_sets([at[i]])[0])
                 x, y = held[1], sets[i]
                 both_ = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
-                ok = 100 * both_ >= SIMILAR * (len(x) + len(y) - both_)
+                ok = 100 * both_ >= plan.similar * (len(x) + len(y) - both_)
                 keep.append(ok and mark(x) == am[i] and mark(y) == bm[i])
             if any(keep):
                 yield batch.filter(pa.array(keep)).select([0, 2])
@@ -154,14 +168,14 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "am", "b", "bm", "at", "bt").mapInArrow(run, "a long, b long")
 
 
-def _sketches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sketches(texts: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
     """(rep, mark, k0 ..): a bit of each further minimum, mixed, of the wanted documents."""
     names = [f"k{i}" for i in range(SKETCH // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             sets = shingle_sets(texts_of(batch, "_text"))
-            bits = np.array([mixed(minima(x, SKETCH_FACTORS, SKETCH_ADDS)) & np.uint64(1) for x in sets], np.uint8).reshape(len(sets), SKETCH)
+            bits = np.array([mixed(minima(x, plan.sketch_factors, plan.sketch_adds)) & np.uint64(1) for x in sets], np.uint8).reshape(len(sets), SKETCH)
             words = np.packbits(bits, axis=1).view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mark(x) for x in sets], pa.binary()), *[pa.array(words[:, i].copy()) for i in range(len(names))]], ["rep", "mark", *names])
 
@@ -176,9 +190,10 @@ def _torn(members: DataFrame, found: DataFrame) -> DataFrame:
     return written(part.join(torn, ["band", "h"]), "neardup-rest")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id and kept."""
-    signed = written(signatures(docs, text, key), "neardup-signatures")
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: int = SIMILAR) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id and kept; ``similar`` hundredths or more link."""
+    plan = Plan(similar)
+    signed = written(signatures(docs, plan, text, key), "neardup-signatures")
     usable = signed.filter(F.col("mark").isNotNull() & F.col("doc_id").isNotNull())
     classes = written(usable.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "neardup-classes")
     texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).filter("_doc IS NOT NULL AND _text IS NOT NULL")
@@ -191,7 +206,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     members = written(buckets.join(shared.select("band", "h", "least"), ["band", "h"]), "neardup-members")
     first = members.filter("rep != least.rep OR mark != least.mark").groupBy("rep", "mark").agg(F.min("least").alias("least"))
     first = first.select(F.col("least.rep").alias("a"), F.col("least.mark").alias("am"), F.col("rep").alias("b"), F.col("mark").alias("bm"))
-    links = written(_verified(written(_alike(first, classes), "neardup-pairs"), texts).unionByName(same), "neardup-links")
+    links = written(_verified(written(_alike(first, classes, plan), "neardup-pairs"), texts, plan).unionByName(same), "neardup-links")
     found = written(components(links), "neardup-components")
 
     # Members of a bucket that are still apart meet a few random others of it, until hardly any pairs are left to list.
@@ -203,7 +218,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         centre = salted.groupBy("band", "h", "s").agg(F.min(F.struct("rep", "mark", "c")).alias("least"))
         meet = salted.join(centre, ["band", "h", "s"]).filter("c != least.c AND rep != least.rep")
         meet = meet.select(F.col("least.rep").alias("a"), F.col("least.mark").alias("am"), F.col("rep").alias("b"), F.col("mark").alias("bm")).distinct()
-        new = written(_verified(written(_alike(meet, classes), "neardup-pairs"), texts), "neardup-links")
+        new = written(_verified(written(_alike(meet, classes, plan), "neardup-pairs"), texts, plan), "neardup-links")
         if new.isEmpty():
             break
         links = links.unionByName(new)
@@ -211,17 +226,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     rest = _torn(members, found)
     if not rest.isEmpty():
-        sketched = _sketches(texts, rest).join(classes.select("rep", "mark", "bands"), ["rep", "mark"])
+        sketched = _sketches(texts, rest, plan).join(classes.select("rep", "mark", "bands"), ["rep", "mark"])
         rest = written(rest.join(sketched, ["rep", "mark"]), "neardup-sketched")
         keys = [f"k{i}" for i in range(SKETCH // 64)]
         left = rest.select("band", "h", F.col("rep").alias("a"), F.col("mark").alias("am"), F.col("c").alias("ac"), F.col("bands").alias("ab"), *[F.col(k).alias(f"a{k}") for k in keys])
         right = rest.select("band", "h", F.col("rep").alias("b"), F.col("mark").alias("bm"), F.col("c").alias("bc"), F.col("bands").alias("bb"), *[F.col(k).alias(f"b{k}") for k in keys])
-        differ = F.expr(" + ".join(f"bit_count(a{k} ^ b{k})" for k in keys) + f" <= {DIFFER}")
+        differ = F.expr(" + ".join(f"bit_count(a{k} ^ b{k})" for k in keys) + f" <= {plan.differ}")
         # A pair of different components shares no bucket that is whole, so its first shared band is always among these rows.
         first_band = ~F.exists(F.zip_with(F.slice("ab", F.lit(1), left.band), F.slice("bb", F.lit(1), left.band), lambda x, y: x == y), lambda x: x)
         across = left.join(right, (left.band == right.band) & (left.h == right.h) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & differ & first_band)
         pairs = written(across.select("a", "am", "b", "bm").distinct(), "neardup-across")
-        more = written(_verified(written(_alike(pairs, classes), "neardup-pairs"), texts), "neardup-links")
+        more = written(_verified(written(_alike(pairs, classes, plan), "neardup-pairs"), texts, plan), "neardup-links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
 

@@ -209,6 +209,21 @@ def test_near_duplicates(docs, empty):
     assert got[None].component_id is None and got[None].kept and neardup.near_duplicates(empty).count() == 0
 
 
+def test_least_similarity(spark):
+    """Links at 0.80 and at 0.85, by brute force over texts with words replaced at the end."""
+    texts = []
+    for k in range(60):
+        base = [f"w{k}x{i}" for i in range(204)]
+        texts += [" ".join(base), " ".join(base[: 204 - (k % 30 + 6)] + [f"v{k}x{i}" for i in range(k % 30 + 6)])]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    share = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(0.8 <= x < 0.85 for x in share) >= 4 and sum(x < 0.8 for x in share) >= 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least in (0.80, 0.85):
+        got = {r.doc_id for r in neardup.near_duplicates(df, similar=round(100 * least)).filter("kept").collect()}
+        assert got == {i for i in range(len(texts)) if i % 2 == 0 or share[i // 2] < least}
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(20)] + [(50, 60), (60, 55), (7, 7), (100, 101), (101, 100)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect()}
