@@ -3,7 +3,10 @@
 Scores are naive-Bayes letter trigrams, counted over a sample of labelled rows of a bounded expected size
 (``train_docs`` a language, drawn by a hash of the id). A word's script admits only languages that write at least
 ``SCRIPT_SHARE`` of their training letters in it. Between two words of a text, changing the language costs ``switch``.
-A text's language is the one whose spans hold most letters (ties: the first by name); the score is their share.
+One more state, ``und``, stands for no known language: all trigrams are equally likely in it, so it takes words that no
+language makes likelier than chance, and it alone takes words in a script that no language writes. A text's language is the
+one whose spans hold most letters (ties: the first by name), ``und`` where that state holds more; the score is the
+language's share of all letters.
 
 Null texts and texts without a letter: ``und``, score 0. Without any training row every text is ``und``. Rows are
 independent; repeated rows get equal results, an empty table gives an empty result, other columns are ignored.
@@ -43,12 +46,14 @@ class LanguageModel:
         scores = np.add.reduceat(self.logs[grams], starts, axis=0) if len(grams) else np.zeros((0, len(self.langs)), np.float32)
         admits = self.admits[w.script]
         some = admits.any(1, keepdims=True)
-        return np.where(some, np.where(admits, scores, scores.min(1, keepdims=True) - 50), 0).astype(np.float32)
+        none = -np.log(self.logs.shape[0]) * w.letters[:, None]
+        low = scores.min(1, keepdims=True, initial=0) - 50
+        return np.hstack([np.where(admits, scores, low), np.where(some, none, 0)]).astype(np.float32)
 
     def labels(self, w, switch: float = SWITCH) -> np.ndarray:
         """Viterbi for all texts in step: the i-th words of all texts that have so many are handled at once."""
         scores = self.word_scores(w)
-        n_langs = len(self.langs)
+        n_langs = len(self.langs) + 1
         counts = np.bincount(w.doc, minlength=w.texts)
         order = np.argsort(-counts, kind="stable")
         first = np.cumsum(counts) - counts
@@ -80,11 +85,12 @@ class LanguageModel:
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), w, np.zeros(len(w.doc), np.int16)
         labels = self.labels(w, switch)
-        held = np.bincount(w.doc * len(self.langs) + labels, weights=w.letters, minlength=w.texts * len(self.langs)).reshape(w.texts, -1)
-        total = held.sum(1)
-        best = held.argmax(1)
+        n_states = len(self.langs) + 1
+        held = np.bincount(w.doc * n_states + labels, weights=w.letters, minlength=w.texts * n_states).reshape(w.texts, -1)
+        total, none = held.sum(1), held[:, -1]
+        best = held[:, :-1].argmax(1)
         score = np.where(total > 0, held[np.arange(len(best)), best] / np.maximum(total, 1), 0.0)
-        return [self.langs[b] if t else UNKNOWN for b, t in zip(best.tolist(), total.tolist())], score, w, labels
+        return [self.langs[b] if t and n <= t else UNKNOWN for b, t, n in zip(best.tolist(), held[np.arange(len(best)), best].tolist(), none.tolist())], score, w, labels
 
 
 def train_language(docs: DataFrame, train_docs: int = TRAIN_DOCS, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
@@ -140,7 +146,7 @@ def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, text
                 begin = np.flatnonzero(new)
                 size = np.diff(np.concatenate([begin, [len(w.doc)]]))
                 first = begin - (np.cumsum(np.bincount(w.doc, minlength=w.texts)) - np.bincount(w.doc, minlength=w.texts))[w.doc[begin]]
-                names = pa.array([m.langs[i] if m.langs else UNKNOWN for i in labels[begin]], pa.string())
+                names = pa.array([m.langs[i] if i < len(m.langs) else UNKNOWN for i in labels[begin]], pa.string())
                 inner = pa.StructArray.from_arrays([names, pa.array(first, pa.int32()), pa.array(size, pa.int32())], ["lang", "first", "words"])
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(w.doc[begin], minlength=w.texts))])
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner))

@@ -65,6 +65,24 @@ def test_language_spans(spark):
     assert [model.langs[i] for i in labels] == ["en"] * 7 + ["de"] * 7
 
 
+def test_unknown_languages(spark):
+    """Scripts that no language writes and junk belong to no language and do not pass the stage; the texts around them do."""
+    import corpus_pipeline as c
+
+    strange = ["日本語 テキスト 漢字", "это совсем другой язык", "xqzjw vkqxz zzxqj qwxvk jjxqz kkvwq xzqvj", "هذه لغة أخرى"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = docs.filter("lang IS NOT NULL AND n_chars > 200").count()
+    more = spark.createDataFrame([(10**9 + i, t, None, None, len(t)) for i, t in enumerate(strange)], docs.schema)
+    got = by_id(language.identify(docs.unionByName(more), language.train_language(docs)))
+    for i in range(len(strange)):
+        r = got[10**9 + i]
+        assert r.lang_pred == language.UNKNOWN and r.score < 0.1 and {x.lang for x in r.spans} == {language.UNKNOWN}
+    mixed = language.train_language(docs).predict([docs.filter("n_chars > 200 AND lang = 'de'").first().text + " это"])
+    assert mixed[0] == ["de"] and 0.5 < mixed[1][0] < 1
+    kept = c.language(spark, docs.unionByName(more), SF)
+    assert kept.filter("doc_id >= 1000000000").count() == 0 and kept.filter("lang IS NOT NULL AND n_chars > 200").count() == known
+
+
 def test_ppm(docs, empty):
     trie_docs = [t or "" for t in TEXTS[:8]]
     got = by_id(ppm.score_texts(docs, docs.filter("doc_id < 8")))
