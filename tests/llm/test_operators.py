@@ -276,6 +276,19 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_lengths(spark):
+    """Vectors of any length link with those of their own, copies included."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for d in (64, 64, 32, 100):
+        x = rng.normal(size=(20, d))
+        rows += [[float(f) for f in np.float32(v)] for v in np.concatenate([x, x[:8] * 2, x[:4]])]
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")).collect()}
+    for i, v in enumerate(rows):
+        near = [j for j, u in enumerate(rows) if len(u) == len(v) and np.dot(u, v) >= 0.95 * np.linalg.norm(u) * np.linalg.norm(v)]
+        assert got[i].n_links == len(near) - 1 and got[i].component_id == min(near)
+
+
 def test_toxicity(docs, empty, labels):
     text = ["good day friend " + "abcdefgh"[i % 8] for i in range(40)] + ["bad moron friend " + "abcdefgh"[i % 8] for i in range(40)]
     model = toxicity.fit_fm(text, np.array([0] * 40 + [1] * 40))
