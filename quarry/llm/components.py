@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,12 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges of any orientation -> (node, component): the least node that each node reaches; isolated nodes are absent.
 
     Rounds go on until a round changes nothing (count and hash sums of the edges). Each round is written to the shared
-    folder. Least neighbours are partially aggregated before the shuffle, so hubs cost no more than other nodes.
+    folder, and the round before is removed. Least neighbours are partially aggregated before the shuffle; the one join of a
+    hub's neighbours with its least one is a skewed join, which Spark splits.
     """
     now, before = written(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges"), None
     while True:
         key = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
         if key == before or not key[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        before = key
-        now = written(_small_star(_large_star(now)), "edges")
+        later = written(_small_star(_large_star(now)), "edges")
+        discard(now)
+        now, before = later, key
