@@ -5,6 +5,7 @@ from __future__ import annotations
 from .embeddings import op8_embedding_neardup
 from .language import op2_language_id
 from .licenses import op7_license_scan
+from .licenses import oracle as license_sql
 from .mixing import op10_mixing
 from .neardup import op6_minhash_neardup
 from .pieces import op1_sentencepiece
@@ -26,4 +27,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
-ORACLES = {"op5_quality_rules": quality_sql()}
+ORACLES = {"op5_quality_rules": quality_sql(), "op7_license_scan": license_sql()}
