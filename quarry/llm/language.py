@@ -8,7 +8,8 @@ language makes likelier than chance, and it alone takes words in a script that n
 one whose spans hold most letters (ties: the first by name), ``und`` where that state holds more; the score is the
 language's share of all letters.
 
-Null texts and texts without a letter: ``und``, score 0. Without any training row every text is ``und``. Rows are
+Letters are those of Unicode; marks count with the letters of their word, and a run of marks alone is no word. Texts of any length are
+taken whole. Null texts and texts without a letter: ``und``, score 0. Without any training row every text is ``und``. Rows are
 independent; repeated rows get equal results, an empty table gives an empty result, other columns are ignored.
 """
 
@@ -24,14 +25,14 @@ from pyspark.sql import functions as F
 from .common import fold, slices, table, texts_of
 from .textvec import SCRIPTS, gram_hashes, words_of
 
-#: log2 of the hashed trigrams; expected training rows a language; most languages; the Viterbi switching penalty.
-BITS, TRAIN_DOCS, MOST_LANGUAGES, SWITCH = 16, 600, 256, 6.0
+#: log2 of the hashed trigrams; expected training rows a language; the Viterbi switching penalty.
+BITS, TRAIN_DOCS, SWITCH = 16, 600, 6.0
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
 
 
 class LanguageModel:
-    """Log scores (trigram x language) and admitted languages by script; its size is at most 2^BITS x MOST_LANGUAGES."""
+    """Log scores (trigram x language) and admitted languages by script: 256 KB a language, however many rows taught it."""
 
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
         self.langs = langs
@@ -94,9 +95,9 @@ class LanguageModel:
 
 
 def train_language(docs: DataFrame, train_docs: int = TRAIN_DOCS, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
-    """Counts trigrams on the executors; what comes to the driver is one row of sums a language (at most MOST_LANGUAGES)."""
+    """Counts trigrams on the executors; what comes to the driver is one row of sums a language."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), F.asc(lang)).limit(MOST_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     langs = sorted(sizes)
     empty = LanguageModel(langs, np.zeros((1 << BITS, len(langs))), np.zeros((len(SCRIPTS) + 2, len(langs))))
     if not langs:
@@ -123,7 +124,7 @@ def train_language(docs: DataFrame, train_docs: int = TRAIN_DOCS, text: str = "t
 
     sums = sample.mapInArrow(count, "lang string, what int, i int, n long").groupBy("lang", "what", "i").agg(F.sum("n").alias("n"))
     packed = sums.groupBy("lang", "what").agg(F.collect_list("i").alias("i"), F.collect_list("n").alias("n")).collect()
-    counts, scripts = np.zeros((1 << BITS, len(langs))), np.zeros((len(SCRIPTS) + 2, len(langs)))
+    counts, scripts = np.zeros((1 << BITS, len(langs)), np.float32), np.zeros((len(SCRIPTS) + 2, len(langs)))
     for r in packed:
         (scripts if r["what"] else counts)[r["i"], langs.index(r["lang"])] = r["n"]
     return LanguageModel(langs, counts, scripts)

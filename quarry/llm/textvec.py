@@ -22,27 +22,29 @@ SCRIPTS = (
     ("georgian", ((0x10A0, 0x10FF),)),
     ("hangul", ((0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF))),
     ("kana", ((0x3040, 0x30FF),)),
-    ("han", ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F))),
+    ("han", ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F), (0x30000, 0x323AF))),
 )
 _classes: list[np.ndarray] = []
 
 
-def classes() -> np.ndarray:
-    """By code point: 0 no letter, else the script's number plus 1."""
+def classes() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: 0 neither letter nor mark, else the script's number plus 1; and whether it is a mark."""
     if not _classes:
-        kind = np.zeros(0x110000, np.uint8)
-        kind[[c for c in range(0x32000) if unicodedata.category(chr(c))[0] in "LM"]] = 1
+        kind, mark = np.zeros(0x110000, np.uint8), np.zeros(0x110000, bool)
+        names = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+        kind[[c for c, x in enumerate(names) if x in "LM"]] = 1
+        mark[[c for c, x in enumerate(names) if x == "M"]] = True
         for i, (_, ranges) in enumerate(SCRIPTS):
             for a, b in ranges:
                 part = kind[a : b + 1]
                 part[part > 0] = i + 2
-        _classes.append(kind)
-    return _classes[0]
+        _classes.extend((kind, mark))
+    return _classes[0], _classes[1]
 
 
 @dataclass
 class Words:
-    """Maximal runs of letters of all texts, in order."""
+    """Maximal runs of letters and marks with a letter at least, of all texts, in order."""
 
     chars: np.ndarray  # code points of all texts, a zero after each text
     doc: np.ndarray  # each word's text
@@ -66,10 +68,16 @@ class Words:
 def words_of(texts: list[str]) -> Words:
     lower = [x.lower() for x in texts]
     chars = np.frombuffer("\0".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    kind = classes()[chars]
+    kinds, marks = classes()
+    kind = kinds[chars]
     is_letter = kind > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], is_letter, [False]]).astype(np.int8)))
     begin, end = edges[::2], edges[1::2]
+    mark = marks[chars]
+    if mark.any():
+        so_far = np.concatenate([[0], np.cumsum(is_letter & ~mark)])
+        some = so_far[end] > so_far[begin]
+        begin, end = begin[some], end[some]
     text_ends = np.cumsum([len(x) + 1 for x in lower])
     return Words(chars, np.searchsorted(text_ends, begin, side="right"), begin, end, kind[begin].astype(np.int64), len(texts))
 
