@@ -2,14 +2,15 @@
 
 Words are parted by \\x20 and \\x09-\\x0D after lower-casing A-Z; a document's set holds its distinct 5-word shingles (all its words
 as one with fewer). Documents of equal sets form a class, represented by its smallest id. Bands of minima, as many as the
-least similarity asks for (``Plan``), miss a pair at it with a probability below 1e-8. In a band's bucket no pairs are listed at first: each
-class is compared with the smallest id that it meets in any bucket. Then only pairs of one bucket that are still in
-different components are compared, until none is left; so no candidate is dropped, whatever a bucket's size. A pair first
-needs agreeing minima (their lowest bytes; a pair at the least similarity fails with probability about 1e-6), for the last pairs also like
-sketches of 1024 further minima (again about 1e-6; at 0.85 they part it from 0.7 without listing the pairs); then its whole sets are compared.
-
-Null texts and texts without words have empty sets and link with nothing. Rows without an id get no component and are kept;
-rows that repeat an id are the same document. An empty table gives an empty result; other columns are ignored.
+least similarity asks for (``Plan``), miss a pair at it with a probability below 1e-8. Buckets are rows of two numbers (band
+hash, class). First each class is compared with the least class of each of its buckets; then, where members of a bucket still
+lie in different components, its members are compared in blocks, until none is left: no candidate is dropped, whatever a bucket's
+size. A pair of the first kind needs agreeing minima (their lowest bytes), one of the second kind a like sketch (the least shingle in each of
+``BINS`` ranges of hashes); a pair at the least similarity fails either with a probability of about 1e-6. Then its whole sets are compared.
+
+Null texts and texts without words have empty sets and link with nothing; texts of any length are taken whole. Rows without an
+id get no component and are kept; rows that repeat an id are one document, so all their texts' classes are linked. Ties are
+broken by the smaller id. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of, written
+from .common import discard, slices, table, texts_of, written
 from .components import components
 from .textvec import MIX, mixed
 
 WINDOW, SIMILAR = 5, 85
-#: Turns in which members of torn buckets meet random others, before the pairs left are listed.
-MEETINGS = 1
-#: Bits of the sketch of documents in torn buckets, one of each of so many further minima.
-SKETCH = 1024
+#: Ranges of hashes in a sketch; members of a bucket that are compared at once.
+BINS, BLOCK = 1024, 512
+#: Standard deviations that a pair at the least similarity may lie from what is expected.
+DEVIATIONS = 4.77
 
 
 class Plan:
@@ -42,15 +43,20 @@ class Plan:
         self.similar, self.rows = similar, 100 // (100 - similar)
         self.bands = ceil(log(6e-9) / log(1 - s**self.rows))
         minima = self.bands * self.rows
-        # share of agreeing minima that a pair needs before its sets are compared, and the most bits of the sketch that may
-        # differ (at similarity 0.85 about 77 +- 8 do, at 0.7 about 154 +- 11)
-        self.agree = floor(100 * (s - 4.77 * sqrt(s * (1 - s) / minima))) / 100
-        half = (1 - s) / 2
-        self.differ = ceil(SKETCH * half + 4.53 * sqrt(SKETCH * half * (1 - half)))
+        # share of agreeing minima that a pair needs before its sets are compared
+        self.agree = floor(100 * (s - DEVIATIONS * sqrt(s * (1 - s) / minima))) / 100
         rng = np.random.default_rng(20)
         draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
         self.factors, self.adds = draw(minima) * np.uint64(2) + np.uint64(1), draw(minima)
-        self.sketch_factors, self.sketch_adds = draw(SKETCH) * np.uint64(2) + np.uint64(1), draw(SKETCH)
+
+    def alike(self, one: np.ndarray, others: np.ndarray, n: int, ns: np.ndarray) -> np.ndarray:
+        """Which of the other sketches may be as similar: the union's least shingles, one a range, are drawn from it without replacement."""
+        s = self.similar / 100
+        used = ((one | others) != 0).sum(1)
+        differ = (one != others).sum(1)
+        union = np.maximum((n + ns) / (1 + s), used)
+        spread = np.sqrt(used * s * (1 - s) * (1 - used / (union + 1)))
+        return (differ <= used * (1 - s) + DEVIATIONS * spread + 2) & (100 * np.minimum(n, ns) >= self.similar * np.maximum(n, ns))
 
 
 IS_BLANK = np.zeros(256, bool)
@@ -58,7 +64,7 @@ IS_BLANK[[32, *range(9, 14)]] = True
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text."""
+    """Sorted distinct 64-bit shingle hashes of each text, however few words all of them have."""
     data = np.frombuffer(b" ".join([x.encode().lower() for x in texts] + [b""]), np.uint8)
     sizes = np.array([len(x.encode()) + 1 for x in texts], np.int64)
     word = ~IS_BLANK[data]
@@ -73,7 +79,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     hashes = mixed(np.add.reduceat(mixed(data[at] + np.uint64(1) + (place << np.uint64(9))), starts))
     last = np.searchsorted(begin, np.cumsum(sizes))
     acc = hashes.copy()
-    for k in range(1, WINDOW):
+    for k in range(1, min(WINDOW, len(acc))):
         acc[: len(acc) - k] = mixed(acc[: len(acc) - k] * MIX + hashes[k:])
     out, a = [], 0
     for b in last.tolist():
@@ -103,6 +109,15 @@ def mark(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A byte of the least hash in each of ``BINS`` equal ranges, 0 where there is none."""
+    out = np.zeros(BINS, np.uint8)
+    bins = (shingles >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]])) if len(bins) else bins
+    out[bins[first]] = (mixed(shingles[first]) % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
 def signatures(docs: DataFrame, plan: Plan, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n, mark of the set, band hashes, low bytes of the minima) of each row."""
 
@@ -127,67 +142,120 @@ def signatures(docs: DataFrame, plan: Plan, text: str = "text", key: str = "doc_
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n long, mark binary, bands array<long>, sig binary")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose minima agree often enough."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("mark").alias(f"{x}m"), F.col("n").alias(f"{x}n"), F.col("sig").alias(f"{x}s"))
-    both = pairs.join(side("a"), ["a", "am"]).join(side("b"), ["b", "bm"])
-    both = both.filter(100 * F.least("an", "bn") >= plan.similar * F.greatest("an", "bn"))
+def _candidates(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, rep, n, sig, bands, sketch, text) of the wanted classes, each with a text of its representative; a row that repeats is taken once a task."""
+    both = wanted.join(docs, F.col("rep") == F.col("_doc")).select("cid", "rep", "n", "mark", "sig", "bands", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, "_text"):
+            ids = batch.column(0).to_pylist()
+            batch = batch.filter(pa.array([x not in seen for x in ids], pa.bool_()))
+            sets = shingle_sets(texts_of(batch, "_text"))
+            own = [mark(x) == y for x, y in zip(sets, batch.column(3).to_pylist())]
+            for i, x in enumerate(batch.column(0).to_pylist()):
+                own[i] = own[i] and x not in seen
+                if own[i]:
+                    seen.add(x)
+            out = [*(batch.column(i) for i in (0, 1, 2, 4, 5)), pa.array([sketch(x) for x in sets], pa.binary()), batch.column(6)]
+            yield pa.RecordBatch.from_arrays(out, ["cid", "rep", "n", "sig", "bands", "sketch", "text"]).filter(pa.array(own, pa.bool_()))
+
+    found = both.mapInArrow(run, "cid long, rep long, n long, sig binary, bands array<long>, sketch binary, text string")
+    return written(found, "neardup-candidates")
+
+
+def _agreeing(pairs: DataFrame, candidates: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) whose sizes allow the similarity and whose minima agree often enough."""
+    side = lambda x: candidates.select(F.col("cid").alias(x), F.col("n").alias(f"{x}n"), F.col("sig").alias(f"{x}s"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("an", "bn") >= plan.similar * F.greatest("an", "bn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
-                yield batch.filter(pa.array((a == b).mean(1) >= plan.agree)).select([0, 1, 2, 3])
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield batch.filter(pa.array((a == b).mean(1) >= plan.agree)).select([0, 1])
 
-    return both.select("a", "am", "b", "bm", "as", "bs").mapInArrow(run, "a long, am binary, b long, bm binary")
+    return both.select("a", "b", "as", "bs").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """Of pairs (a, am, b, bm), those whose whole sets are similar enough; texts travel, sets are made where they are compared."""
-    wanted = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    texts = docs.join(wanted, F.col("_doc") == F.col("_id"), "left_semi").distinct()
-    texts = written(texts, "neardup-texts")
-    both = pairs.join(texts.select(F.col("_doc").alias("b"), F.col("_text").alias("bt")), "b")
-    both = both.join(texts.select(F.col("_doc").alias("a"), F.col("_text").alias("at")), "a")
+def _verified(pairs: DataFrame, candidates: DataFrame, plan: Plan) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose whole sets are similar enough, as (a, b) of representatives."""
+    side = lambda x: candidates.select(F.col("cid").alias(x), F.col("rep").alias(f"{x}r"), F.col("text").alias(f"{x}t"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, None)
         for batch in slices(batches, "at"):
-            a, am, b, bm, at, bt = (batch.column(i).to_pylist() for i in range(6))
-            sets, keep = shingle_sets(bt), []
-            for i in range(len(a)):
-                if held[0] != at[i]:
-                    held = (at[i], shingle_sets([at[i]])[0])
-                x, y = held[1], sets[i]
-                both_ = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
-                ok = 100 * both_ >= plan.similar * (len(x) + len(y) - both_)
-                keep.append(ok and mark(x) == am[i] and mark(y) == bm[i])
+            at, sets, keep = batch.column(2).to_pylist(), shingle_sets(batch.column(3).to_pylist()), []
+            for one, y in zip(at, sets):
+                if held[0] != one:
+                    held = (one, shingle_sets([one])[0])
+                x = held[1]
+                both_ = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both_ >= plan.similar * (len(x) + len(y) - both_))
             if any(keep):
-                yield batch.filter(pa.array(keep)).select([0, 2])
+                yield batch.filter(pa.array(keep)).select([0, 1])
 
-    return both.select("a", "am", "b", "bm", "at", "bt").mapInArrow(run, "a long, b long")
+    return both.select(F.col("ar").alias("a"), F.col("br").alias("b"), "at", "bt").mapInArrow(run, "a long, b long")
 
 
-def _sketches(texts: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """(rep, mark, k0 ..): a bit of each further minimum, mixed, of the wanted documents."""
-    names = [f"k{i}" for i in range(SKETCH // 64)]
+def _apart(members: DataFrame, part: DataFrame) -> DataFrame:
+    """(key, cid, c, c_rows) of the members, but for the least one that all have met, of buckets that hold several components c."""
+    rows = members.filter("cid != least").select("key", "cid").join(part, "cid")
+    torn = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("c_rows")).filter("lo != hi").select("key", "c_rows")
+    return rows.join(torn, "key")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            sets = shingle_sets(texts_of(batch, "_text"))
-            bits = np.array([mixed(minima(x, plan.sketch_factors, plan.sketch_adds)) & np.uint64(1) for x in sets], np.uint8).reshape(len(sets), SKETCH)
-            words = np.packbits(bits, axis=1).view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mark(x) for x in sets], pa.binary()), *[pa.array(words[:, i].copy()) for i in range(len(names))]], ["rep", "mark", *names])
 
-    found = texts.join(wanted.select(F.col("rep").alias("_id")).distinct(), F.col("_doc") == F.col("_id"), "left_semi").distinct()
-    return found.mapInArrow(run, "rep long, mark binary, " + ", ".join(f"{k} long" for k in names))
+def _near(rest: DataFrame, candidates: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) of classes of one bucket and different components whose sketches are alike: blocks of a bucket against each other.
+
+    A pair is compared in the first band that it shares only: that bucket is among the rows, or the pair has met there as a least
+    class and another.
+    """
+    blocks = F.ceil(F.col("c_rows") / BLOCK).cast("int")
+    own = rest.withColumn("_n", blocks).withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_n")).cast("int"))
+    placed = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    placed = placed.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "cid", "c")
+    wide = placed.join(candidates.select("cid", "n", "bands", "sketch"), "cid")
+    dealt = wide.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def pairs() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            cid, c, n, place = (rows.column(x).to_numpy() for x in ("cid", "c", "n", "_own"))
+            flat = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(cid), BINS)
+            bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
+            earlier = bands[:, : int(np.argmax(bands[0] == last[0]))]
+            one_block = last[1] == last[2]
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for x in range(len(cid)):
+                others = np.flatnonzero((c != c[x]) & ((cid > cid[x]) if one_block else (place > place[x])))
+                others = others[~(earlier[others] == earlier[x]).any(1)]
+                if len(others):
+                    near = others[plan.alike(flat[x], flat[others], n[x], n[others])]
+                    out.append((np.minimum(cid[x], cid[near]), np.maximum(cid[x], cid[near])))
+            a, b = (np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-def _torn(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, with the component c and the bucket's rows c_rows."""
-    part = members.join(found, F.col("rep") == F.col("node"), "left").select("rep", "mark", "band", "h", F.coalesce("component", "rep").alias("c"))
-    torn = part.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("c_rows")).filter("lo != hi").select("band", "h", "c_rows")
-    return written(part.join(torn, ["band", "h"]), "neardup-rest")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = [batch.column(x).to_numpy() for x in ("key", "i", "j")]
+            cuts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(cuts, cuts[1:]):
+                now = tuple(int(x[begin]) for x in names)
+                if held and now != last:
+                    yield pairs()
+                    held = []
+                last = now
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield pairs()
+
+    return dealt.select("key", "i", "j", "_own", "cid", "c", "n", "bands", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: int = SIMILAR) -> DataFrame:
@@ -195,50 +263,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     plan = Plan(similar)
     signed = written(signatures(docs, plan, text, key), "neardup-signatures")
     usable = signed.filter(F.col("mark").isNotNull() & F.col("doc_id").isNotNull())
-    classes = written(usable.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "neardup-classes")
+    grouped = usable.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    # classes that share a number only cost more comparisons
+    classes = written(grouped.withColumn("cid", F.xxhash64("mark")), "neardup-classes")
     texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).filter("_doc IS NOT NULL AND _text IS NOT NULL")
-    # a document that repeats an id with another text lies in two classes at once
-    same = usable.select("doc_id", "mark").join(classes.select("mark", "rep"), "mark").filter("doc_id != rep").groupBy("doc_id").agg(F.min("rep").alias("r1"), F.max("rep").alias("r2")).filter("r1 != r2")
-    same = same.select(F.col("r2").alias("a"), F.col("r1").alias("b"))
-
-    buckets = classes.select("rep", "mark", F.posexplode("bands").alias("band", "h"))
-    shared = written(buckets.groupBy("band", "h").agg(F.count("*").alias("c"), F.min(F.struct("rep", "mark")).alias("least")).filter("c > 1"), "neardup-buckets")
-    members = written(buckets.join(shared.select("band", "h", "least"), ["band", "h"]), "neardup-members")
-    first = members.filter("rep != least.rep OR mark != least.mark").groupBy("rep", "mark").agg(F.min("least").alias("least"))
-    first = first.select(F.col("least.rep").alias("a"), F.col("least.mark").alias("am"), F.col("rep").alias("b"), F.col("mark").alias("bm"))
-    links = written(_verified(written(_alike(first, classes, plan), "neardup-pairs"), texts, plan).unionByName(same), "neardup-links")
-    found = written(components(links), "neardup-components")
-
-    # Members of a bucket that are still apart meet a few random others of it, until hardly any pairs are left to list.
-    for turn in range(MEETINGS):
-        rest = _torn(members, found)
-        if rest.isEmpty():
-            break
-        salted = rest.withColumn("s", F.pmod(F.xxhash64("rep", "mark", F.lit(turn)), F.greatest(F.lit(1).cast("long"), F.floor(F.col("c_rows") / 6))))
-        centre = salted.groupBy("band", "h", "s").agg(F.min(F.struct("rep", "mark", "c")).alias("least"))
-        meet = salted.join(centre, ["band", "h", "s"]).filter("c != least.c AND rep != least.rep")
-        meet = meet.select(F.col("least.rep").alias("a"), F.col("least.mark").alias("am"), F.col("rep").alias("b"), F.col("mark").alias("bm")).distinct()
-        new = written(_verified(written(_alike(meet, classes, plan), "neardup-pairs"), texts, plan), "neardup-links")
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
-        found = written(components(links), "neardup-components")
-
-    rest = _torn(members, found)
+    # an id that comes with several texts joins their classes
+    several = usable.groupBy("doc_id").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo != hi").select("doc_id")
+    same = usable.select("doc_id", "mark").join(several, "doc_id", "left_semi").join(classes.select("mark", "rep"), "mark").filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+    buckets = classes.select("cid", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least != most").select("key", "least")
+    members = written(buckets.join(shared, "key"), "neardup-members")
+    wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "rep", "n", "mark", "sig", "bands")
+    candidates = _candidates(wanted, texts)
+    first = members.filter("cid != least").select(F.col("least").alias("a"), F.col("cid").alias("b")).distinct()
+    links = written(_verified(_agreeing(first, candidates, plan), candidates, plan).unionByName(same).distinct(), "neardup-links")
+    found = components(links)
+
+    part = candidates.select("cid", "rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("c"))
+    rest = written(_apart(members, part), "neardup-rest")
     if not rest.isEmpty():
-        sketched = _sketches(texts, rest, plan).join(classes.select("rep", "mark", "bands"), ["rep", "mark"])
-        rest = written(rest.join(sketched, ["rep", "mark"]), "neardup-sketched")
-        keys = [f"k{i}" for i in range(SKETCH // 64)]
-        left = rest.select("band", "h", F.col("rep").alias("a"), F.col("mark").alias("am"), F.col("c").alias("ac"), F.col("bands").alias("ab"), *[F.col(k).alias(f"a{k}") for k in keys])
-        right = rest.select("band", "h", F.col("rep").alias("b"), F.col("mark").alias("bm"), F.col("c").alias("bc"), F.col("bands").alias("bb"), *[F.col(k).alias(f"b{k}") for k in keys])
-        differ = F.expr(" + ".join(f"bit_count(a{k} ^ b{k})" for k in keys) + f" <= {plan.differ}")
-        # A pair of different components shares no bucket that is whole, so its first shared band is always among these rows.
-        first_band = ~F.exists(F.zip_with(F.slice("ab", F.lit(1), left.band), F.slice("bb", F.lit(1), left.band), lambda x, y: x == y), lambda x: x)
-        across = left.join(right, (left.band == right.band) & (left.h == right.h) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & differ & first_band)
-        pairs = written(across.select("a", "am", "b", "bm").distinct(), "neardup-across")
-        more = written(_verified(written(_alike(pairs, classes, plan), "neardup-pairs"), texts, plan), "neardup-links")
+        more = written(_verified(_near(rest, candidates, plan), candidates, plan).distinct(), "neardup-links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
+        discard(more)
+    discard(members, candidates, links, rest)
 
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("mark").alias("_mark"), F.coalesce("component", "rep").alias("_component"))
     out = signed.join(named, F.col("mark") == F.col("_mark"), "left")
