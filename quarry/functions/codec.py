@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import hash31
+from .text import byte_values, hash31, text_of_hex
 
 # Substrings that a safe SQL text must not hold, and characters that a safe command must not hold.
 UNSAFE_SQL = ("'", "--", ";", "/*", "*/", "DROP", "DELETE")
@@ -16,19 +16,23 @@ LEVELS = ("DEBUG", "INFO", "WARN", "ERROR")
 LANGUAGES = {"c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "py": "python", "js": "javascript", "ts": "typescript", "go": "go", "rs": "rust", "java": "java"}
 
 
-def xor_hex(x: Column, key: str) -> Column:
-    """The bytes of an ASCII text, each XORed with the repeating key, in hexadecimal; empty stays empty."""
+def _xored(values: Column, key: str) -> Column:
     if not key:
         raise ValueError("the key is empty")
     codes = F.array(*[F.lit(b) for b in key.encode()])
-    chars = F.filter(F.split(x, ""), lambda c: c != "")
-    parts = F.transform(chars, lambda c, i: F.lpad(F.hex(F.ascii(c).bitwiseXOR(F.get(codes, i % len(key))).cast("long")), 2, "0"))
-    return F.lower(F.array_join(parts, ""))
+    parts = F.transform(values, lambda b, i: F.lpad(F.hex(b.bitwiseXOR(F.get(codes, i % len(key.encode()))).cast("long")), 2, "0"))
+    return F.array_join(parts, "")
+
+
+def xor_hex(x: Column, key: str) -> Column:
+    """The UTF-8 bytes of a text, each XORed with the repeating key, in hexadecimal; empty stays empty."""
+    return F.lower(_xored(byte_values(x), key))
 
 
 def xor_back(x: Column, key: str) -> Column:
-    """The ASCII text whose ``xor_hex`` is given."""
-    return F.decode(F.unhex(xor_hex(F.decode(F.unhex(x), "ISO-8859-1"), key)), "ISO-8859-1")
+    """The text whose ``xor_hex`` is given."""
+    values = F.transform(F.regexp_extract_all(F.upper(x), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
+    return text_of_hex(_xored(values, key))
 
 
 def hash_hex(x: Column, width: int = 16) -> Column:
@@ -111,6 +115,54 @@ def log_line(time: Column, level: Column, message: Column) -> Column:
     return F.concat(F.lit("["), time.cast("string"), F.lit("] "), name, F.lit(": "), message)
 
 
+def log_context(file: Column, line: Column, function: Column, message: Column) -> Column:
+    """A message with the place it comes from in front."""
+    return F.concat(F.lit("["), file, F.lit(":"), line.cast("string"), F.lit(" "), function, F.lit("()] "), message)
+
+
+def secure_equal(a: Column, b: Column) -> Column:
+    """Equality of two texts; null equals nothing."""
+    return F.coalesce(a == b, F.lit(False))
+
+
+def random_token(length: int) -> Column:
+    """Random letters and digits, others for each row."""
+    return F.randstr(F.lit(length))
+
+
+def command_code(x: Column) -> Column:
+    """1, 2 and 0 for the three known commands, -1 for any other."""
+    # The commands and their codes.
+    return F.when(x == "GET_STATUS", 1).when(x == "GET_CONFIG", 2).when(x == "SHUTDOWN", 0).otherwise(-1)
+
+
+def admin_steps(x: Column) -> Column:
+    """The numbers below 100 that an admin command of more than ten characters handles: multiples of 2, 3 and 5."""
+    steps = F.filter(F.sequence(F.lit(0), F.lit(99)), lambda i: (i % 2 == 0) & (i % 3 == 0) & (i % 5 == 0))
+    return F.when(F.startswith(x, F.lit("ADMIN")) & (F.octet_length(x) > 10), steps).otherwise(F.array().cast("array<int>"))
+
+
+def request_response(method: Column, path: Column, body: Column, users: dict[str, str], files: dict[str, str], connections: Column) -> Column:
+    """Response of a request, as far as tables of users and files and the number of connections decide it; null where the reference sends nothing new.
+
+    Files are served up to 2047 characters, uploads are acknowledged, nothing is ever run.
+    """
+    text = lambda code, words, content: F.concat(F.lit(f"HTTP/1.1 {code} {words}\r\n"), content)
+    table = lambda t: F.create_map(*[F.lit(v) for kv in t.items() for v in kv]) if t else F.create_map(F.lit(""), F.lit(None).cast("string"))
+    content = F.left(F.try_element_at(table(files), F.substring(path, F.lit(7), F.length(path))), F.lit(2047))
+    found = text(200, "OK", F.concat(F.lit("Content-Length: "), F.octet_length(content).cast("string"), F.lit("\r\n\r\n"), content))
+    gone = text(404, "Not Found", F.lit("\r\nFile not found"))
+    user, password = F.regexp_extract(body, r"^user=(\S{1,63})&pass=(\S{1,63})", 1), F.regexp_extract(body, r"^user=(\S{1,63})&pass=(\S{1,63})", 2)
+    login = F.when(password == "", F.lit(None)).when(F.coalesce(F.try_element_at(table(users), user) == password, F.lit(False)), text(200, "OK", F.lit("\r\nLogin successful"))).otherwise(text(401, "Unauthorized", F.lit("\r\nInvalid credentials")))
+    upload = F.when(body.rlike("^filename=\\S+") & F.contains(body, F.lit("&content=")), text(200, "OK", F.lit("\r\nFile saved")))
+    get = F.when(F.startswith(path, F.lit("/file/")), F.when(content.isNotNull(), found).otherwise(gone)).when(path == "/status", text(200, "OK", F.concat(F.lit("\r\nServer running, connections: "), connections.cast("string"))))
+    post = F.when(path == "/login", login).when(path == "/upload", upload).when(path == "/exec", F.lit(None).cast("string"))
+    other = text(404, "Not Found", F.lit("\r\nNot found"))
+    get = F.when(F.startswith(path, F.lit("/file/")) | (path == "/status"), get).otherwise(other)
+    post = F.when(path.isin("/login", "/upload", "/exec"), post).otherwise(other)
+    return F.when(method == "GET", get).when(method == "POST", post).otherwise(text(405, "Method Not Allowed", F.lit("\r\n")))
+
+
 def preview(x: Column, most: int = 200) -> Column:
     return F.when(F.length(x) > most, F.concat(F.left(x, F.lit(most)), F.lit("..."))).otherwise(x)
 
