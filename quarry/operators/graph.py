@@ -19,9 +19,18 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
     Paths are not enumerated: each level is made distinct before it is joined again, which gives the same rows.
     """
-    level, out = seeds.select("node").distinct(), None
-    for d in range(1, checked(depth) + 1):
-        level = level.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+    return _levels(edges, seeds, checked(depth), distinct=True)
+
+
+def _levels(edges: DataFrame, seeds: DataFrame, depth: int, distinct: bool) -> DataFrame:
+    """A level is an exchange that the levels after it and the result share; each third level is kept, so the plans after it stay short."""
+    level, out = seeds.select("node").distinct() if distinct else seeds.select("node"), None
+    for d in range(1, depth + 1):
+        level = level.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"))
+        if distinct:
+            level = level.distinct()
+        if d % 3 == 0 and d < depth:
+            level = level.persist()
         rows = level.withColumn("depth", F.lit(d))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -34,14 +43,36 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, depth) once for each path; parallel rows count."""
-    level, out = seeds.select("node"), None
+    return _levels(edges, seeds, checked(depth), distinct=False)
+
+
+def tree(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, node, depth) once for each path from each root; ``roots`` is (root, node)."""
+    level, out = roots.select("root", "node"), None
     for d in range(1, checked(depth) + 1):
-        level = level.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"))
+        level = level.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"))
         rows = level.withColumn("depth", F.lit(d))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def reach_from(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, node, depth): for many seeds at once, each node at its least depth from each seed, the seed itself left out."""
+    level, out = seeds.select(F.col("node").alias("seed"), "node").distinct(), None
+    for d in range(1, checked(depth) + 1):
+        level = level.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+        rows = level.withColumn("depth", F.lit(d))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("seed", "node").agg(F.min("depth").alias("depth")).filter("seed != node")
+
+
+def typed(relations: DataFrame, kinds: tuple[str, ...], up: bool, direct: bool = False) -> DataFrame:
+    """Edges of the given kinds, from target to source (``up``) or from source to target; only direct ones where asked."""
+    a, b = ("target_id", "source_id") if up else ("source_id", "target_id")
+    edges = relations.filter(F.col("relation_type").isin(*kinds))
+    return (edges.filter("is_direct") if direct else edges).select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
+
+
 def calls(relations: DataFrame, up: bool) -> DataFrame:
     """Call edges from callee to caller (``up``) or from caller to callee."""
     a, b = ("target_id", "source_id") if up else ("source_id", "target_id")

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The old rows, and the new rows whose key is not there yet."""
-    return old.unionByName(new.join(old.select(key), key, "left_anti").select(*old.columns))
+    """The old rows, and the new rows whose key is not there yet; of new rows that share a key the least by its columns comes in."""
+    one = new.groupBy(key).agg(F.min(F.struct(*[c for c in old.columns if c != key])).alias("_x"))
+    return old.unionByName(one.join(old.select(key), key, "left_anti").select(*[F.col(c) if c == key else F.col(f"_x.{c}").alias(c) for c in old.columns]))
 
 
 def updated(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Columns of ``changes`` replace those of the same key; its nulls change nothing."""
+    """Columns of ``changes`` replace those of the same key; its nulls change nothing, and of changes that share a key the greatest value counts."""
     names = [c for c in changes.columns if c != key]
-    new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in names])
+    new = changes.groupBy(key).agg(*[F.max(c).alias(f"_new_{c}") for c in names])
     return old.join(new, key, "left").select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in names else F.col(c) for c in old.columns])
 
 

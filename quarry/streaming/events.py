@@ -41,17 +41,37 @@ def alive_after(entries: DataFrame, sweeps: int) -> DataFrame:
     return entries.filter(F.col("ttl") >= sweeps)
 
 
-def upsert_batch(path: str, key: str):
-    """A foreachBatch sink that merges each batch into a Parquet table by key (newest batch wins)."""
+def upsert_batch(path: str, key: str, parts: int = 64):
+    """A foreachBatch sink that merges each batch into a Parquet table by key (newest batch wins); ``current_table`` reads it.
+
+    Rows lie in ``parts`` partitions by a hash of the key, and a batch rewrites only those that it touches, as a new version of each. A
+    partition's versions are numbered by batch, so a batch that is replayed overwrites its own, and one that left no rows is no gap.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/v{number - 1}").join(batch.select(key), key, "left_anti") if number else None
-        except Exception as e:  # the first batch of a new table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        (batch if old is None else old.unionByName(batch)).write.mode("overwrite").parquet(f"{path}/v{number}")
+        part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts)).cast("int")
+        new = batch.withColumn("_part", part).persist()
+        touched = [r["_part"] for r in new.select("_part").distinct().collect()]  # at most ``parts`` numbers
+        if touched:
+            old = current_table(spark, path, number, new.columns)
+            if old is not None:
+                old = old.filter(F.col("_part").isin(touched)).join(new.select(key), key, "left_anti")
+            merged = new if old is None else old.unionByName(new)
+            merged.withColumn("_version", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part", "_version").parquet(path)
+        new.unpersist()
 
     return sink
+
+
+def current_table(spark, path: str, before: int | None = None, columns: list[str] | None = None) -> DataFrame | None:
+    """The table that ``upsert_batch`` keeps: each partition's newest version (older than ``before`` where given); None if there is none."""
+    from ..operators.storage import exists
+
+    if not exists(spark, path):
+        return None
+    rows = spark.read.parquet(path)
+    old = rows if before is None else rows.filter(F.col("_version") < before)
+    last = old.select("_part", "_version").groupBy("_part").agg(F.max("_version").alias("_version"))  # folder names only
+    kept = old.join(F.broadcast(last), ["_part", "_version"], "left_semi").drop("_version")
+    return kept if columns is None else kept.select(*columns)
