@@ -18,10 +18,25 @@ from ..streaming import events as X
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 ERROR_RANK = ("critical", "high", "medium", "low")
-SEED, FILE, MODULE = 363, 5, "NATION_1"
+SEED, FILE, MODULE = 104, 5, "NATION_20"  # with callers, callees, types, errors at every size
 SQL_NOW = f"TIMESTAMP '{REF_NOW}'"
-PATTERNS = ((1, "project", None, None, "error", "naming"), (2, "module", MODULE, None, "warning", "error_handling"), (3, "file", None, "src/nation_1*/*", "info", "headers"), (4, "file", None, "*00000000[0-4].c", "error", "memory"))
-ADRS = ((1, "ADR-1", "accepted", '["NATION_1","NATION_2"]', "2024-01-02"), (2, "ADR-2", "proposed", '["NATION_1"]', "2024-01-03"), (3, "ADR-3", "accepted", '["NATION_3"]', "2024-01-04"))
+#: id, scope, module, file pattern, severity, title, category, active, rules.
+PATTERNS = (
+    (1, "project", None, None, "error", "naming", "naming_convention", True, '[{"type":"must_use","pattern":"the"}]'),
+    (2, "module", MODULE, None, "warning", "error_handling", "error_handling", True, '[{"type":"must_use","pattern":"ERR_*"},{"type":"must_not_use","pattern":"exit()"}]'),
+    (3, "file", None, "src/nation_1*/*", "info", "headers", "layout", True, "[]"),
+    (4, "file", None, "*00000000[0-46].[ch]", "error", "memory", "memory", True, '[{"type":"must_not_use","pattern":"[^a]lloc"}]'),
+    (5, "project", None, None, "error", "old", "naming_convention", False, "[]"),
+)
+PATTERN_COLUMNS = "pattern_id, scope, k_module, file_pattern, severity, title, category, is_active, rules"
+#: number, id, status, modules, decided, files, title.
+ADRS = (
+    (1, "ADR-1", "accepted", '["NATION_20","NATION_2"]', "2024-01-02", '["src/nation_2/*"]', "one"),
+    (2, "ADR-2", "proposed", '["NATION_20"]', "2024-01-03", "[]", "two"),
+    (3, "ADR-3", "accepted", '["NATION_3"]', "2024-01-04", '["src/NATION_20/boot.c"]', "three"),
+    (4, "ADR-4", "accepted", '["NATION_200"]', "2024-01-05", "[]", "four"),
+)
+ADR_COLUMNS = "id, adr, status, modules, decided, files, title"
 CRITICAL_PATHS = (("src/nation_1/**", "core"), ("src/**/Supplier#00000000?.c", "boot"))
 
 
@@ -114,11 +129,12 @@ def g_type_users(spark, d):
 
 
 @query("g_include_tree", f""", t(node, depth) AS (SELECT CAST({FILE} AS BIGINT), 0 UNION ALL SELECT r.target_file_id, t.depth + 1 FROM t JOIN file_relations r ON r.source_file_id = t.node WHERE r.relation_type = 'includes' AND t.depth < 2)
-SELECT f.id, f.path, t.depth FROM t JOIN files f ON f.id = t.node WHERE t.depth > 0""")
+SELECT f.id, f.path, t.depth, r.path AS root_path FROM t JOIN files f ON f.id = t.node JOIN files r ON r.id = 5 WHERE t.depth > 0""")
 def g_include_tree(spark, d):
     p = Project(spark, d)
     edges = p.file_relations().filter("relation_type = 'includes'").select(F.col("source_file_id").alias("src"), F.col("target_file_id").alias("dst"))
-    return G.paths(edges, _seed(p, FILE), 2).join(p.files().select("id", "path"), F.col("node") == F.col("id")).select("id", "path", "depth")
+    roots = p.files().filter(F.col("id") == FILE).select(F.col("path").alias("root"), F.col("id").alias("node"))
+    return G.tree(edges, roots, 2).join(p.files().select("id", "path"), F.col("node") == F.col("id")).select("id", "path", "depth", F.col("root").alias("root_path"))
 
 
 @query("g_neighbours", """SELECT f.id, (SELECT count(DISTINCT target_file_id) FROM file_relations r WHERE r.source_file_id = f.id) AS n_includes,
@@ -142,7 +158,7 @@ def g_module_deps(spark, d):
 def v_files_with_stats(spark, d):
     p = Project(spark, d)
     s = p.symbols().groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("symbol_count"), F.count_if(F.col("kind") == "function").alias("function_count"), F.count_if(F.col("kind").isin("struct", "class", "enum")).alias("type_count"), F.round(F.avg("complexity"), 6).alias("avg_complexity"))
-    return p.files().join(s, "id", "left").fillna(0, ["symbol_count", "function_count", "type_count"])
+    return p.files().select("id", "path", "module", "is_critical").join(s, "id", "left").fillna(0, ["symbol_count", "function_count", "type_count"])
 
 
 @query("v_symbols_with_context", "SELECT s.*, f.path AS file_path, f.module AS file_module, f.is_critical AS file_is_critical FROM symbols s JOIN files f ON f.id = s.file_id")
@@ -157,49 +173,115 @@ def v_symbols_with_context(spark, d):
 def v_relations_named(spark, d):
     p = Project(spark, d)
     side = lambda x: p.symbols().join(p.files().select(F.col("id").alias("file_id"), F.col("path").alias(f"{x}_file")), "file_id").select(F.col("id").alias(f"{x}_id"), F.col("name").alias(f"{x}_name"), f"{x}_file")
-    return p.relations().withColumnRenamed("count", "n").join(side("source"), "source_id").join(side("target"), "target_id")
+    return p.relations().select("source_id", "target_id", "relation_type", F.col("count").alias("n")).join(side("source"), "source_id").join(side("target"), "target_id")
 
 
-@query("v_recent_errors", f"SELECT * FROM errors WHERE discovered_at >= {SQL_NOW} - INTERVAL 10 DAYS")
+@query("v_recent_errors", f"SELECT * FROM errors WHERE discovered_at >= {SQL_NOW} - INTERVAL 30 DAYS")
 def v_recent_errors(spark, d):
-    return Project(spark, d).errors().filter(F.col("discovered_at") >= ago(10))
+    return Project(spark, d).errors().filter(F.col("discovered_at") >= ago(30))
 
 
-@query("v_high_risk_files", f"""SELECT f.id, f.path, f.is_critical, count(e.id) AS error_count, max(e.severity) AS max_severity FROM files f
- LEFT JOIN errors e ON e.file_id = f.id AND e.discovered_at >= {SQL_NOW} - INTERVAL 20 DAYS WHERE f.is_critical OR e.id IS NOT NULL GROUP BY ALL""")
+@query("v_high_risk_files", f"""SELECT f.id, f.path, f.module, f.is_critical, count(e.id) AS error_count, max(e.severity) AS max_severity FROM files f
+ LEFT JOIN errors e ON e.file_id = f.id AND e.discovered_at >= {SQL_NOW} - INTERVAL 180 DAYS WHERE f.is_critical OR e.id IS NOT NULL GROUP BY ALL""")
 def v_high_risk_files(spark, d):
     p = Project(spark, d)
-    e = p.errors().filter(F.col("discovered_at") >= ago(20)).groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("error_count"), F.max("severity").alias("max_severity"))
-    return p.files().select("id", "path", "is_critical").join(e, "id", "left").filter("is_critical OR error_count IS NOT NULL").fillna(0, ["error_count"])
+    e = p.errors().filter(F.col("discovered_at") >= ago(180)).groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("error_count"), F.max("severity").alias("max_severity"))
+    return p.files().select("id", "path", "module", "is_critical").join(e, "id", "left").filter("is_critical OR error_count IS NOT NULL").fillna(0, ["error_count"])
 
 
-@query("h_file_errors", f"SELECT id, error_type, severity, discovered_at FROM errors WHERE file_id = {FILE} ORDER BY discovered_at DESC, id DESC LIMIT 10")
+def errors_of_path(p: Project, path: DataFrame) -> DataFrame:
+    """Errors that name a path or lie in its file; ``path`` is one row (path). An unknown path has no file, so only the name counts."""
+    ids = p.files().join(path, "path", "left_semi").select(F.col("id").alias("_id"))
+    wanted = path.join(ids, how="left").select(F.col("path").alias("_path"), "_id")  # one row
+    return p.errors().join(F.broadcast(wanted), (F.col("file_path") == F.col("_path")) | (F.col("file_id") == F.col("_id"))).drop("_path", "_id")
+
+
+def _path_of(p: Project, file: int = FILE) -> DataFrame:
+    return p.files().filter(F.col("id") == file).select("path")
+
+
+_PATH_ERRORS = "SELECT id, error_type, severity, title, discovered_at, is_regression FROM errors WHERE file_path = {p} OR file_id = (SELECT id FROM files WHERE path = {p}) ORDER BY discovered_at DESC, id DESC LIMIT 10"
+
+
+@query("h_file_errors", _PATH_ERRORS.format(p=f"(SELECT path FROM files WHERE id = {FILE})"))
 def h_file_errors(spark, d):
-    e = Project(spark, d).errors().filter(F.col("file_id") == FILE)
-    return e.orderBy(F.desc("discovered_at"), F.desc("id")).limit(10).select("id", "error_type", "severity", "discovered_at")
+    p = Project(spark, d)
+    return errors_of_path(p, _path_of(p)).orderBy(F.desc("discovered_at"), F.desc("id")).limit(10).select("id", "error_type", "severity", "title", "discovered_at", "is_regression")
+
+
+@query("h_path_errors", _PATH_ERRORS.format(p="'src/old/a.c'"))
+def h_path_errors(spark, d):
+    """A path that is no file of the project."""
+    e = errors_of_path(Project(spark, d), local(spark, [("src/old/a.c",)], "path"))
+    return e.orderBy(F.desc("discovered_at"), F.desc("id")).limit(10).select("id", "error_type", "severity", "title", "discovered_at", "is_regression")
 
 
-@query("h_module_error_types", f"SELECT e.error_type, e.severity, count(*) AS n, max(e.discovered_at) AS last_seen FROM errors e JOIN files f ON f.id = e.file_id WHERE f.module = '{MODULE}' GROUP BY ALL")
+LIKE = "SRC/old/%"
+
+
+@query("h_module_error_types", f"SELECT e.error_type, e.severity, count(*) AS n, max(e.discovered_at) AS last_seen FROM errors e JOIN files f ON e.file_id = f.id OR e.file_path ILIKE '{LIKE}' WHERE f.module = '{MODULE}' GROUP BY ALL")
 def h_module_error_types(spark, d):
+    """Each error counts for every file of the module that it joins: all of them where its path is like the pattern, else its own. No pairs are listed."""
     p = Project(spark, d)
-    return p.errors().join(p.files().filter(F.col("module") == MODULE).select(F.col("id").alias("file_id")), "file_id", "left_semi").groupBy("error_type", "severity").agg(F.count("*").alias("n"), F.max("discovered_at").alias("last_seen"))
+    own = p.files().filter(F.col("module") == MODULE).select(F.col("id").alias("file_id"), F.lit(1).alias("_own"))
+    size = own.agg(F.count("*").alias("_files"))  # one row
+    e = p.errors().join(own, "file_id", "left").join(F.broadcast(size)).withColumn("_n", F.when(F.col("file_path").ilike(LIKE), F.col("_files")).otherwise(F.coalesce("_own", F.lit(0))))
+    return e.filter("_n > 0").groupBy("error_type", "severity").agg(F.sum("_n").alias("n"), F.max("discovered_at").alias("last_seen"))
 
 
-@query("k_patterns", f""", k(id, scope, module, file_pattern, severity, title) AS (VALUES {values(PATTERNS)})
-SELECT f.id AS file_id, k.id AS pattern_id, k.severity, k.title FROM files f JOIN k ON k.scope = 'project' OR (k.scope = 'module' AND k.module = f.module) OR (k.scope = 'file' AND f.path GLOB k.file_pattern)""")
+@query("h_module_error_types_distinct", f"SELECT e.error_type, e.severity, count(DISTINCT e.id) AS n FROM errors e JOIN files f ON e.file_id = f.id OR e.file_path ILIKE '{LIKE}' WHERE f.module = '{MODULE}' GROUP BY ALL")
+def h_module_error_types_distinct(spark, d):
+    p = Project(spark, d)
+    own = p.files().filter(F.col("module") == MODULE).select(F.col("id").alias("file_id"), F.lit(True).alias("_own"))
+    return p.errors().join(own, "file_id", "left").filter(F.col("_own") | F.col("file_path").ilike(LIKE)).groupBy("error_type", "severity").agg(F.countDistinct("id").alias("n"))
+
+
+_K = f"k({PATTERN_COLUMNS}) AS (VALUES {values(PATTERNS)})"
+_A = f"a({ADR_COLUMNS}) AS (VALUES {values(ADRS)})"
+
+
+def patterns_of(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """(file_id, pattern_id, scope, severity, title, category, rules) of the active patterns of files (id, module, path)."""
+    k = local(spark, PATTERNS, PATTERN_COLUMNS).filter("is_active").withColumn("_regex", T.glob_regex(F.col("file_pattern")))  # a literal: a few rows, whatever the input
+    on = (F.col("scope") == "project") | ((F.col("scope") == "module") & (F.col("k_module") == F.col("module"))) | ((F.col("scope") == "file") & F.rlike("path", F.col("_regex")))
+    return files.join(F.broadcast(k), on).select(F.col("id").alias("file_id"), "pattern_id", "scope", "severity", "title", "category", "rules")
+
+
+@query("k_patterns", f", {_K} SELECT f.id AS file_id, pattern_id, severity, title FROM files f JOIN k ON k.is_active AND (k.scope = 'project' OR (k.scope = 'module' AND k.k_module = f.module) OR (k.scope = 'file' AND f.path GLOB k.file_pattern))")
 def k_patterns(spark, d):
-    k = local(spark, PATTERNS, "pattern_id, scope, k_module, file_pattern, severity, title")  # a literal: a few rows, whatever the input
-    f = Project(spark, d).files()
-    on = (F.col("scope") == "project") | ((F.col("scope") == "module") & (F.col("k_module") == F.col("module"))) | ((F.col("scope") == "file") & F.expr("true") & F.rlike("path", T.glob_regex(F.col("file_pattern"))))
-    return f.join(F.broadcast(k), on).select(F.col("id").alias("file_id"), "pattern_id", "severity", "title")
+    return patterns_of(spark, Project(spark, d).files().select("id", "module", "path")).select("file_id", "pattern_id", "severity", "title")
 
 
-@query("k_adrs", f", a(id, adr, status, modules, decided) AS (VALUES {values(ADRS)}) SELECT adr, status, decided FROM a WHERE status = 'accepted' AND list_contains(CAST(CAST(modules AS JSON) AS VARCHAR[]), '{MODULE}')")
+_ONE_FILE = f"(SELECT id, module, path FROM files WHERE id = {FILE})"
+
+
+@query("k_file_patterns", f", {_K} SELECT pattern_id, title, row_number() OVER (ORDER BY severity DESC, category, pattern_id) AS place FROM k, {_ONE_FILE} f WHERE is_active AND (scope = 'project' OR (scope = 'module' AND k_module = f.module) OR (scope = 'file' AND f.path GLOB file_pattern))")
+def k_file_patterns(spark, d):
+    """The patterns of one file, in order: severity as text downwards, then category."""
+    found = patterns_of(spark, Project(spark, d).files().filter(F.col("id") == FILE).select("id", "module", "path"))
+    return found.withColumn("place", F.row_number().over(W.orderBy(F.desc("severity"), "category", "pattern_id"))).select("pattern_id", "title", "place")  # a few rows
+
+
+@query("k_adrs", f", {_A} SELECT adr, status, decided FROM a WHERE status = 'accepted' AND list_contains(CAST(CAST(modules AS JSON) AS VARCHAR[]), '{MODULE}')")
 def k_adrs(spark, d):
-    a = local(spark, ADRS, "id, adr, status, modules, decided")
+    a = local(spark, ADRS, ADR_COLUMNS)
     return a.filter((F.col("status") == "accepted") & F.array_contains(F.from_json("modules", "array<string>"), MODULE)).select("adr", "status", "decided")
 
 
+def adrs_like(spark: SparkSession, module: str, file_pattern: str | None = None, status: str | None = "accepted") -> DataFrame:
+    """Decisions whose module list names the module, or whose file list holds the pattern as a part; both without regard to case, as texts."""
+    a = local(spark, ADRS, ADR_COLUMNS)
+    on = F.contains(F.lower("modules"), F.lower(F.lit(f'"{module}"')))
+    if file_pattern is not None:
+        on = on | F.contains(F.lower("files"), F.lower(F.lit(file_pattern)))
+    return a.filter(on if status is None else on & (F.col("status") == status))
+
+
+@query("k_adrs_like", f", {_A} SELECT adr, row_number() OVER (ORDER BY decided DESC) AS place FROM a WHERE status = 'accepted' AND (modules ILIKE '%\"{MODULE}\"%' OR files ILIKE '%src/nation\\_20/%' ESCAPE '\\')")
+def k_adrs_like(spark, d):
+    return adrs_like(spark, MODULE, "src/nation_20/").withColumn("place", F.row_number().over(W.orderBy(F.desc("decided")))).select("adr", "place")
+
+
 @query("t_callers_summary", _traversal("target_id", "source_id", 3) + f"""SELECT count(DISTINCT t.node) AS total_callers, max(t.depth) AS max_depth, count(DISTINCT t.node) FILTER (WHERE f.is_critical) AS critical_callers, count(DISTINCT f.path) AS files_affected
  FROM (SELECT node, min(depth) AS depth FROM t WHERE node <> {SEED} GROUP BY node) t JOIN symbols s ON s.id = t.node LEFT JOIN files f ON f.id = s.file_id""")
 def t_callers_summary(spark, d):
@@ -253,18 +335,6 @@ def t_module_summary(spark, d):
     return m.join(s, "module", "left").join(e, "module", "left").fillna(0)
 
 
-@query("t_file_context")
-def t_file_context(spark, d):
-    """One nested document: the file, its symbols, neighbours and latest errors; `{error}` where the file is missing."""
-    p = Project(spark, d)
-    s = p.symbols().filter(F.col("file_id") == FILE).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("line_start", "name", "kind", "complexity", "has_doc"))).alias("symbols"))
-    r = p.file_relations().filter(F.col("source_file_id") == FILE).groupBy(F.col("source_file_id").alias("file_id")).agg(F.sort_array(F.collect_set("target_file_id")).alias("includes"))
-    e = h_file_errors(spark, d).agg(F.sort_array(F.collect_list(F.struct("discovered_at", "error_type", "severity")), False).alias("errors"))
-    f = p.files().filter(F.col("id") == FILE).join(s, F.col("id") == s.file_id, "left").drop("file_id").join(r, F.col("id") == r.file_id, "left").drop("file_id")
-    one = spark.range(1).select(F.lit(1).alias("_one")).join(f.withColumn("_one", F.lit(1)), "_one", "left").join(e.withColumn("_one", F.lit(1)), "_one")
-    return one.select(F.when(F.col("id").isNull(), F.to_json(F.struct(F.lit("file not found").alias("error")))).otherwise(F.to_json(F.struct("id", "path", "module", "is_critical", "symbols", "includes", "errors"))).alias("document"))
-
-
 @query("b_commit_status", """SELECT c.id, CASE WHEN pipeline_status <> 'success' THEN pipeline_status WHEN coalesce(bool_and(i.ack) FILTER (WHERE i.is_bug), true) THEN 'success' ELSE 'failure' END AS status
  FROM commits c LEFT JOIN issues i ON i.commit_id = c.id GROUP BY c.id, pipeline_status""")
 def b_commit_status(spark, d):
@@ -343,7 +413,7 @@ def m_table_counts(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("m_delete_cascade", "SELECT count(*) AS symbols_left, (SELECT count(*) FROM relations r WHERE r.source_id IN (SELECT id FROM symbols WHERE file_id <> 5) AND r.target_id IN (SELECT id FROM symbols WHERE file_id <> 5)) AS relations_left FROM symbols WHERE file_id <> 5")
+@query("m_delete_cascade", "SELECT count(*) AS symbols_left, (SELECT count(*) FROM relations r WHERE r.source_id NOT IN (SELECT id FROM symbols WHERE file_id = 5) AND r.target_id NOT IN (SELECT id FROM symbols WHERE file_id = 5)) AS relations_left FROM symbols WHERE file_id <> 5")
 def m_delete_cascade(spark, d):
     p = Project(spark, d)
     gone = p.symbols().filter(F.col("file_id") == FILE).select("id")
@@ -376,9 +446,11 @@ def f_html_escape(spark, d):
     return read(spark, d, "pages").select("page_id", F.md5(T.escape_html(F.col("html"))).alias("escaped"))
 
 
-@query("f_url_decode", "SELECT page_id, url_decode(replace(url, '+', ' ')) AS decoded FROM pages", views=False)
+@query("f_url_decode", "SELECT page_id, url_decode(replace(url, '+', ' ')) || CASE page_id % 4 WHEN 0 THEN '100%' WHEN 1 THEN 'a%zzb c' WHEN 2 THEN 'é é%4' ELSE '%' END AS decoded FROM pages", views=False)
 def f_url_decode(spark, d):
-    return read(spark, d, "pages").select("page_id", T.url_decode(F.col("url")).alias("decoded"))
+    """Addresses, each with a percent sign behind it that begins no byte."""
+    bad = F.expr("CASE page_id % 4 WHEN 0 THEN '100%' WHEN 1 THEN 'a%zzb+c' WHEN 2 THEN '%C3%A9+%c3%a9%4' ELSE '%' END")
+    return read(spark, d, "pages").select("page_id", T.url_decode(F.concat("url", bad)).alias("decoded"))
 
 
 @query("f_string_suite", "SELECT p_partkey, upper(p_name) AS up, '[' || p_name || '_suffix]' AS complex, left(p_name, 4) AS cut, length(p_name) AS n FROM part", views=False)
@@ -398,11 +470,39 @@ def f_validate_suite(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", T.is_username(n).alias("username"), T.is_password(n).alias("password"), T.is_path(n).alias("path"))
 
 
-@query("f_json_field", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events", views=False)
-def f_json_field(spark, d):
+@query("f_json_member", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events", views=False)
+def f_json_member(spark, d):
     return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+_JSON = "CASE event_id % 6 WHEN 0 THEN '{{\"t\": \"' || event_type || '\"}}' WHEN 1 THEN '{{\"t\":\"' || event_type WHEN 2 THEN '{{\"t\": 5, \"t\": \"x\"}}' WHEN 3 THEN props WHEN 4 THEN '{{\"t\":  \"a b\", \"u\": \"c\"}}' ELSE '' END"
+
+
+@query("f_json_field", f"SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_type WHEN 2 THEN '' WHEN 4 THEN 'a b' END AS t FROM events", views=False)
+def f_json_field(spark, d):
+    """Texts, a text without end, a value that is no text before a field of the same name, an absent field, an empty input."""
+    return read(spark, d, "events").select("event_id", T.json_text_field(F.expr(_JSON.replace("||", "||").replace("{{", "{").replace("}}", "}")), "t").alias("t"))
+
+
+#: Globs and what they mean, written out by hand.
+_GLOBS = (("[^C]*", "[^C].*"), ("*#0000000[0-4]?", ".*#0000000[0-4]."), ("Supplier[#]*", "Supplier#.*"), ("S?:*", "S.:.*"), ("s*", "s.*"), ("*[^0-46-9]", ".*[^0-46-9]"), ("Sup(*)?", "Sup[(].*[)]."), ("*", ".*"), ("[S", "[^a-zA-Z]{99}"))
+
+
+@query("f_glob", f"SELECT s_suppkey, k.p AS pattern, regexp_full_match(s_name, k.x) AS hit FROM supplier, (VALUES {values(_GLOBS)}) k(p, x)", views=False)
+def f_glob(spark, d):
+    k = local(spark, _GLOBS, "pattern, x")  # a few literal rows
+    return read(spark, d, "supplier").join(F.broadcast(k.select("pattern", T.glob_regex(F.col("pattern")).alias("_r")))).select("s_suppkey", "pattern", F.rlike("s_name", F.col("_r")).alias("hit"))
+
+
+_ANSI = "CASE s_suppkey % 5 WHEN 0 THEN concat({e}, '[31m', s_name, {e}, '[0m') WHEN 1 THEN concat({e}, ']0;title', {e}, '\\', s_name) WHEN 2 THEN concat({e}, '(Z', s_name, chr(127)) WHEN 3 THEN concat({e}, '(B', s_name, chr(7), chr(9)) ELSE concat({e}, ']0;t', chr(7), s_name, {e}, 'M') END"
+
+
+@query("f_strip_ansi", "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 2 THEN '(Z' || s_name || chr(127) WHEN 3 THEN s_name || chr(9) ELSE s_name END AS plain FROM supplier", views=False)
+def f_strip_ansi(spark, d):
+    """Colours, titles that end with BEL or with ESC and backslash, charsets known and unknown, DEL."""
+    return read(spark, d, "supplier").select("s_suppkey", T.strip_ansi(F.expr(_ANSI.format(e="chr(27)").replace("'\\\\'", "chr(92)").replace("'\\'", "chr(92)"))).alias("plain"))
+
+
 @query("f_hash31", "SELECT p_partkey, CAST(list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (h * 31 + c) % 18446744073709551616) AS VARCHAR) AS h FROM part", views=False)
 def f_hash31(spark, d):
     return read(spark, d, "part").select("p_partkey", T.hash31(F.col("p_name")).cast("string").alias("h"))
@@ -496,7 +596,7 @@ def f_line_counts(spark, d):
     return read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", C.line_counts(F.col("text")).alias("n")).select("doc_id", "n.total", "n.blank", "n.comment")
 
 
-@query("f_path_parts", "SELECT id, regexp_extract(path, '[^/]*$') AS filename, 'c' AS extension, string_split(path, '/')[2] AS module, 'c' AS language FROM files")
+@query("f_path_parts", "SELECT id, regexp_extract(path, '[^/]*$') AS filename, right(path, 1) AS extension, string_split(path, '/')[2] AS module, 'c' AS language FROM files")
 def f_path_parts(spark, d):
     return Project(spark, d).files().select("id", C.path_parts(F.col("path")).alias("p")).select("id", "p.*")
 
@@ -542,3 +642,6 @@ def m_reindex(spark, d):
     now = p.symbols().select("file_id").distinct().withColumn("h", F.sha2(F.col("file_id").cast("string"), 256))
     later = now.filter("file_id % 8 != 0").withColumn("h", F.when(F.col("file_id") % 4 == 0, F.lit("new")).otherwise(F.col("h")))
     return M.reindexed(old, old.filter("file_id % 8 != 0").withColumn("name", F.upper("name")), M.changed(now, later, "file_id", "h"), "file_id")
+
+
+from . import reports, storage, tools  # noqa: E402, F401  further queries register themselves
