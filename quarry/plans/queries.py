@@ -556,7 +556,7 @@ def x_command_dispatch(spark, d):
 @query("x_connection_active", "SELECT event_id, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS active FROM events", views=False)
 def x_connection_active(spark, d):
     step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
-    return read(spark, d, "events").select("event_id", F.sum(step).over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("active"))
+    return X.running_sum(read(spark, d, "events").select("event_id", "user_id", "ts", "event_type"), "user_id", "ts", ["event_id"], step, "active").select("event_id", "active")
 
 
 @query("f_xor", "SELECT p_partkey, list_aggregate(list_transform(range(1, length(p_name) + 1), lambda i: lpad(lower(hex(xor(ascii(p_name[i]), ascii('key'[((i - 1) % 3 + 1)::BIGINT])))), 2, '0')), 'string_agg', '') AS hexed, p_name AS back FROM part", views=False)

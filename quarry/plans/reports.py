@@ -367,10 +367,10 @@ _SENT = "CASE event_id % 6 WHEN 0 THEN 'GET_STATUS' WHEN 1 THEN 'GET_CONFIG' WHE
  coalesce(count(*) FILTER (WHERE c = 'SHUTDOWN') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS running FROM e""", views=False)
 def x_commands(spark, d):
     """Codes of commands, what an admin command handles, and whether the server runs: no earlier command has shut it down."""
-    c = F.expr(_SENT)
-    before = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    e = read(spark, d, "events").withColumn("c", c)
-    return e.select("event_id", C.command_code(F.col("c")).alias("code"), F.array_join(C.admin_steps(F.col("c")), ",").alias("steps"), (F.coalesce(F.count_if(F.col("c") == "SHUTDOWN").over(before), F.lit(0)) == 0).alias("running"))
+    e = read(spark, d, "events").select("event_id", "user_id", "ts", F.expr(_SENT).alias("c"))
+    stopped = X.running_sum(e, "user_id", "ts", ["event_id"], F.when(F.col("c") == "SHUTDOWN", 1).otherwise(0), "_stops")
+    before = F.col("_stops") - F.when(F.col("c") == "SHUTDOWN", 1).otherwise(0)
+    return stopped.select("event_id", C.command_code(F.col("c")).alias("code"), F.array_join(C.admin_steps(F.col("c")), ",").alias("steps"), (before == 0).alias("running"))
 
 
 @query("x_command_batch", f"SELECT c AS command, 2 * count(*) AS messages FROM (SELECT {_SENT} AS c FROM events) WHERE c IN ('CMD1', 'CMD2', 'CMD3') GROUP BY c", views=False)

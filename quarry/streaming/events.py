@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -23,6 +24,20 @@ def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "1 hour"
     return events.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n_events")).select(F.col("w.start").alias("day"), "event_type", "n_events")
 
 
+def running_sum(rows: DataFrame, key: str, ts: str, order: list[str], value: Column, out: str, size: str = "DAY") -> DataFrame:
+    """The rows with the sum of ``value`` over their key's rows up to them, in order of time and ``order``.
+
+    Each span of time is summed by itself and added to the totals of the spans before it, so a key with many rows is as many tasks as it has spans.
+    """
+    spans = rows.withColumn("_span", F.date_trunc(size, F.col(ts))).withColumn("_v", value)
+    totals = spans.groupBy(key, "_span").agg(F.sum("_v").alias("_t"))
+    earlier = W.partitionBy(key).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(F.col(key).alias("_k"), F.col("_span").alias("_s"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))
+    here = F.sum("_v").over(W.partitionBy(key, "_span").orderBy(ts, *order))
+    joined = spans.withColumn("_here", here).join(totals, F.col(key).eqNullSafe(F.col("_k")) & F.col("_span").eqNullSafe(F.col("_s")))
+    return joined.withColumn(out, F.col("_here") + F.col("_before")).drop("_span", "_v", "_k", "_s", "_here", "_before")
+
+
 def latest_by_key(ops: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """The last value written under each key."""
     return ops.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
