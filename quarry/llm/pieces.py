@@ -8,7 +8,8 @@ backwards from the end. Runs of blanks, whose pieces break the order of merges,
 
 No piece of such a model goes on from another character into a blank, so a text falls into independent parts before each
 run of blanks; the encodings of up to ``CACHE`` short parts are remembered. Null and empty texts have no ids and decode to an empty text. Repeated rows are
-encoded each by itself, an empty table gives an empty result, other columns of the input are ignored.
+encoded each by itself, an empty table gives an empty result, other columns of the input are ignored. Texts of any length are encoded whole.
+Ties: of merges of equal rank the leftmost comes first, as in the library.
 """
 
 from __future__ import annotations
@@ -218,16 +219,16 @@ def piece_table(path: str) -> PieceTable:
 
 
 def encode_pieces(docs: DataFrame, model: str | None = None, text: str = "text", key: str = "doc_id", ids: bool = True, texts: bool = True) -> DataFrame:
-    """One row per input row: ``key``, n_tokens, sha256 of ids and of decoded text, and (where asked) the ids and the decoded text."""
+    """One row per input row: ``key``, n_tokens, sha256 of ids and of decoded text, whether that is the text, and (where asked) the ids and the decoded text."""
     model = model or default_model()
     df = docs.select(key, text)
     kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * texts
+    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean" + ", ids array<int>" * ids + ", decoded string" * texts
 
     def run(batches):
         pieces = piece_table(model)
         for batch in slices(batches, text):
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(6)]
             for body in texts_of(batch, text):
                 chunks = pieces.chunks(body)
                 numbers = list(chain.from_iterable([x[0] for x in chunks]))
@@ -235,12 +236,13 @@ def encode_pieces(docs: DataFrame, model: str | None = None, text: str = "text",
                 out[0].append(len(numbers))
                 out[1].append(hashlib.sha256(",".join([x[1] for x in chunks]).encode()).hexdigest())
                 out[2].append(hashlib.sha256(back.encode()).hexdigest())
+                out[5].append(back == body)
                 if ids:
                     out[3].append(numbers)
                 if texts:
                     out[4].append(back)
-            columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])]
-            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+            columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[5], pa.bool_())]
+            names = [key, "n_tokens", "ids_sha256", "decoded_sha256", "exact"]
             if ids:
                 columns, names = [*columns, pa.array(out[3], pa.list_(pa.int32()))], [*names, "ids"]
             if texts:

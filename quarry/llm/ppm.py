@@ -12,7 +12,8 @@ with the counted table; those that were not counted escape through joins with th
 
 The base score is that of a word unigram. Counts of the most frequent words are broadcast (at most ``HOT`` words of at most 64
 bytes); the rest is joined. Null and empty texts consist of the end. Without training texts all words are unknown and all
-bytes equally likely. Repeated rows are scored each by itself; an empty table gives an empty result; other columns are ignored.
+bytes equally likely. Repeated rows are scored each by itself; an empty table gives an empty result; other columns are ignored. Texts of any
+length are scored whole. Ties: codes or words of equal counts are broadcast or joined together, which changes no score.
 """
 
 from __future__ import annotations

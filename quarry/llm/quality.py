@@ -2,7 +2,8 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null and empty texts have no words and are rejected (``n_words < 10``). All
 arithmetic is on whole counts, so no rule depends on rounding. Rows are independent: repeated rows get equal
-results, an empty table gives an empty result, other columns of the input are ignored.
+results, an empty table gives an empty result, other columns of the input are ignored. Texts of any length are measured whole. Ties: a
+measure that equals its limit breaks no rule.
 """
 
 from __future__ import annotations
