@@ -4,7 +4,8 @@ Texts are encoded with the tokenizers library, in chunks that begin at runs of w
 characters before such a run with it, and special tokens, which hold no white space, are matched as the library does by
 default); an end id closes each document. Documents are range-partitioned and sorted by id; each
 partition is a shard of blocks of about ``BLOCK`` ids. In a block, rounds of Re-Pair replace the most frequent
-neighbouring pairs by nonterminals, never across documents.
+neighbouring pairs by nonterminals, never across documents, until no pair comes ``LEAST`` times. A shard whose texts make one block has one
+grammar; longer shards have one a block, so that a worker never holds more than a block, and a lost task is made again from its texts.
 
 File format, one Parquet row a block: shard, block, first (ids of the shard before it), docs (the documents' ids),
 starts (int32: where each document begins among the block's ids), at (int32: where it begins in ``seq``), left, right
@@ -12,7 +13,8 @@ starts (int32: where each document begins among the block's ids), at (int32: whe
 ``seq[at[i]:at[i + 1]]``; any range of it is found through ``lens`` without expanding the rest. All integers little-endian.
 
 Null and empty texts consist of the end id. Rows without an id come first; repeated rows are written each (ties in order of
-a hash of the text). An empty table gives no files' rows and an empty result; other columns are ignored.
+a hash of the text). An empty table gives no files' rows and an empty result; other columns are ignored. A text of any length is encoded
+whole, in a block of its own if it fills one. Ties: of pairs that come equally often the smaller is replaced first.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import slices, table, texts_of, written
 
 END = 2
-#: Ids of a block, rounds of pair replacement, pairs replaced in a round, and how often a pair must come.
-BLOCK, ROUNDS, TOP, LEAST = 1 << 21, 3, 12288, 16
+#: Ids of a block, pairs replaced in a round, and how often a pair must come: a rule is three numbers, so pairs that come less often save nothing.
+BLOCK, TOP, LEAST = 1 << 21, 60_000, 4
+#: Ids of the expansions that a reader keeps whole.
+SHORT = 256
 #: Chunks that a worker remembers.
 CACHE = 1_000_000
 SPACED = re.compile(r"\s*\S+|\s+")
@@ -183,17 +187,22 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def repair(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS, top: int = TOP, least: int = LEAST) -> dict[str, np.ndarray]:
-    """Re-Pair in rounds: each takes the most frequent pairs, counted exactly, and replaces their occurrences from the left, none overlapping."""
+def repair(ids: np.ndarray, counts: np.ndarray, base: int, top: int = TOP, least: int = LEAST) -> dict[str, np.ndarray]:
+    """Re-Pair in rounds: each takes the most frequent pairs, counted exactly, and replaces their occurrences from the left, none overlapping.
+
+    Rounds end when no pair comes ``least`` times any more. A pair that shares a slot with a more frequent one waits for the next round.
+    """
     seq, last = ids.astype(np.int32), np.zeros(len(ids), bool)
     last[np.cumsum(counts) - 1] = True
     left, right = [], []
-    fresh, bits = base, 18
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    fresh, bits, rough = base, 18, 18
+    slot = lambda x, n: ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - n)).astype(np.int32)
+    while len(seq) >= 2:
         code = (seq[:-1].astype(np.int64) << 32) | seq[1:]
-        ordered = np.sort(code[~last[:-1]])
+        inside = np.flatnonzero(~last[:-1])
+        code_in = code[inside]
+        place = slot(code_in, rough)
+        ordered = np.sort(code_in[np.bincount(place, minlength=1 << rough)[place] >= least])  # rarer pairs cannot come so often
         if not len(ordered):
             break
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
@@ -203,21 +212,22 @@ def repair(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS,
             break
         best = often[np.argsort(-times[often], kind="stable")[:top]]
         chosen = ordered[edge[best]]
-        slot = lambda x: ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-        where, held = slot(chosen)[::-1], chosen[::-1]
+        s = slot(chosen, bits)
         keys, names = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
-        keys[where] = held  # the more frequent pair keeps a shared slot
-        kept = chosen[keys[slot(chosen)] == chosen]
-        names[slot(kept)] = fresh + np.arange(len(kept), dtype=np.int32)
-        s = slot(code)
-        at = np.flatnonzero((keys[s] == code) & ~last[:-1])
+        keys[s[::-1]] = chosen[::-1]  # the more frequent pair keeps a shared slot
+        kept = chosen[keys[s] == chosen]
+        names[slot(kept, bits)] = fresh + np.arange(len(kept), dtype=np.int32)
+        s = slot(code_in, bits)
+        hit = keys[s] == code_in
+        at, name = inside[hit], names[s[hit]]
         new_run = np.concatenate([[True], np.diff(at) > 1])
         start = at[new_run][np.cumsum(new_run) - 1]
-        at = at[(at - start) % 2 == 0]
+        first = (at - start) % 2 == 0
+        at, name = at[first], name[first]
         left.append((kept >> 32).astype(np.int32))
         right.append((kept & 0xFFFFFFFF).astype(np.int32))
         fresh += len(kept)
-        seq[at] = names[s[at]]
+        seq[at] = name
         last[at] = last[at + 1]
         gone = np.ones(len(seq), bool)
         gone[at + 1] = False
@@ -234,18 +244,27 @@ def repair(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS,
     return {"left": left_, "right": right_, "lens": size[base:], "seq": seq, "at": np.concatenate([[0], ends]).astype(np.int32), "starts": np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)}
 
 
-def expansions(left: np.ndarray, right: np.ndarray, lens: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All symbols' expansions one after the other, their starts and lengths."""
+def expansions(left: np.ndarray, right: np.ndarray, lens: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
+    """Expansions of the symbols of up to ``SHORT`` ids one after the other, with starts and lengths (0 for longer ones), and the rules."""
     found: list[list[int]] = []
-    for a, b in zip(left.tolist(), right.tolist()):
-        found.append(([a] if a < base else found[a - base]) + ([b] if b < base else found[b - base]))
-    size = np.concatenate([np.ones(base, np.int64), lens.astype(np.int64)])
-    flat = np.concatenate([np.arange(base, dtype=np.int32), np.array([y for x in found for y in x], np.int32)])
-    return flat, np.cumsum(size) - size, size
-
-
-def expand(seq: np.ndarray, grammar: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    flat, start, size = grammar
+    for a, b, n in zip(left.tolist(), right.tolist(), lens.tolist()):
+        found.append(([a] if a < base else found[a - base]) + ([b] if b < base else found[b - base]) if n <= SHORT else [])
+    size = np.concatenate([np.ones(base, np.int64), np.where(lens <= SHORT, lens, 0).astype(np.int64)])
+    flat = np.concatenate([np.arange(base, dtype=np.int32), np.fromiter(chain.from_iterable(found), np.int32, int(size[base:].sum()))])
+    return flat, np.cumsum(size) - size, size, left, right
+
+
+def expand(seq: np.ndarray, grammar: tuple[np.ndarray, ...]) -> np.ndarray:
+    """All ids: long symbols are replaced by their two parts until none is left, then each symbol by its expansion."""
+    flat, start, size, left, right = grammar
+    base = len(size) - len(left)
+    while (long := size[seq] == 0).any():
+        ends = np.cumsum(1 + long)
+        out = np.empty(ends[-1], np.int32)
+        out[ends[~long] - 1] = seq[~long]
+        rule = seq[long] - base
+        out[ends[long] - 2], out[ends[long] - 1] = left[rule], right[rule]
+        seq = out
     n = size[seq]
     ends = np.cumsum(n)
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[seq] - (ends - n), n)]
