@@ -38,6 +38,16 @@ def m_transaction(spark, d):
     return now.read("symbols").unionByName(now.read("notes"))
 
 
+@query("m_dump_restore", "SELECT 'files' AS item, count(*) AS n FROM files UNION ALL SELECT 'symbols', count(*) FROM symbols")
+def m_dump_restore(spark, d):
+    """Two tables dumped and read back."""
+    p, path = Project(spark, d), D.scratch(spark)
+    M.dump({"files": p.files(), "symbols": p.symbols()}, path)
+    back = M.restore(spark, path, ["files", "symbols"])
+    n = lambda name: back[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), "n")
+    return n("files").unionByName(n("symbols"))
+
+
 @query("m_seed_patterns", "SELECT * FROM (VALUES (1, 'naming'), (2, 'own'), (3, 'memory'), (4, 'documentation')) t(id, name)", views=False)
 def m_seed_patterns(spark, d):
     """Default rows come in where their key is not there yet."""
