@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Java class of the characters that part words of ``[^\x20\x09-\x0D]+``.
 BLANK = r"[\x20\x09-\x0D]"
@@ -82,6 +83,6 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
 
 
-def keyed(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns: other columns of the input, clashing or not, never reach an operator's own names."""
-    return df.select(*[F.col(c) for c in columns])
+def with_columns(kept: list[StructField], more: str) -> StructType:
+    """The schema of kept columns, of any names and types, followed by others."""
+    return StructType([*kept, *StructType.fromDDL(more).fields])

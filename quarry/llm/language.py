@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, slices, table, texts_of
+from .common import fold, slices, table, texts_of, with_columns
 from .textvec import SCRIPTS, gram_hashes, words_of
 
 #: log2 of the hashed trigrams; expected training rows a language; the Viterbi switching penalty.
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, text
     df = docs.select(*keep, text)
     at = len(keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:at]) + ", lang_pred string, score double" + ", spans array<struct<lang:string,first:int,words:int>>" * spans
+    schema = with_columns(df.schema.fields[:at], "lang_pred string, score double" + ", spans array<struct<lang:string,first:int,words:int>>" * spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -7,7 +7,7 @@ notice, diagonals up to ``MERGE`` words further are merged with each diagonal, s
 is verified by the share of the template's positions that it holds, each counted once, and by its length, and of spans so near
 to each other the best stays (of equal ones the last). So a piece that comes again and again is never taken for the rest of a notice.
 
-Null and empty texts have no words and no labels (empty strings, null positions, score 0). Texts of any length are scanned whole. Repeated rows
+Ties: of two notices with the same words each gives its label. Null and empty texts have no words and no labels (empty strings, null positions, score 0). Texts of any length are scanned whole. Repeated rows
 are scanned each by itself, an empty table gives an empty result, other columns of the input are ignored.
 """
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, slices, table, texts_of, written
+from .common import fold, slices, table, texts_of, with_columns, written
 
 ORDER, MOST_NODES, HOT, HOT_BYTES = 5, 1_500_000, 60_000, 64
 END_WORD = b""
@@ -229,7 +229,7 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", keep: tup
     df = docs.select(*keep, text)
     at = len(keep)
     names = [*keep, "n_tokens", "_known", "_base", "_score", "_rare", "_times", "_codes", "_code_times"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:at]) + ", n_tokens long, _known long, _base double, _score double, _rare array<binary>, _times array<int>, _codes array<long>, _code_times array<long>"
+    schema = with_columns(df.schema.fields[:at], "n_tokens long, _known long, _base double, _score double, _rare array<binary>, _times array<int>, _codes array<long>, _code_times array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = shared.value
