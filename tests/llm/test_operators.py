@@ -1,6 +1,7 @@
 """Edge cases and brute-force checks of the training-data operators."""
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -8,8 +9,9 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quarry.llm import components, embeddings, language, licenses, mixing, neardup, pieces, ppm, quality, tokenfiles, toxicity
+from quarry.llm import components, embeddings, language, licenses, mixing, neardup, pieces, ppm, quality, textvec, tokenfiles, toxicity
 from quarry.llm.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +41,10 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+def by_vec(df):
+    return {r.vec_id: r for r in df.collect()}
+
+
 def test_pieces(docs, empty):
     lib = pieces.piece_table(pieces.default_model()).library
     got = by_id(pieces.encode_pieces(docs))
@@ -58,6 +64,34 @@ def test_language(docs, empty):
     assert {r.lang_pred for r in language.identify(docs, language.train_language(empty)).collect()} == {language.UNKNOWN}
 
 
+def test_language_letters(spark):
+    """Marks alone are no letters; letters of every plane are."""
+    model = language.train_language(spark.createDataFrame([(i, "das haus und der mann", "de") for i in range(5)], "doc_id long, text string, lang string"))
+    names, score, _, _ = model.predict(["\u0301\u0302 \u0903", "das haus und der mann \u0301", "\U00031350\U00031351", "1 2 3 !"])
+    assert names == ["und", "de", "und", "und"] and score[0] == score[3] == 0 and score[1] == 1
+    assert textvec.words_of(["\U00031350\U00031351 \u0301"]).letters.tolist() == [2]
+    many = spark.createDataFrame([(i, f"text number {i}", f"l{i:03d}") for i in range(300)], "doc_id long, text string, lang string")
+    assert len(language.train_language(many).langs) == 300
+
+
+def test_language_viterbi():
+    """The best path over all paths, by trying each."""
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 30, (1 << language.BITS, 2)).astype(float)
+    scripts = np.zeros((len(textvec.SCRIPTS) + 2, 2))
+    scripts[2] = 1, 1
+    model = language.LanguageModel(["aa", "bb"], counts, scripts)
+    texts = ["".join(rng.choice(list("abcde "), 24)) for _ in range(30)] + ["", "abc"]
+    w = textvec.words_of(texts)
+    scores, labels = model.word_scores(w), model.labels(w, 1.5)
+    value = lambda at, path: sum(scores[i, k] for i, k in zip(at, path)) - 1.5 * sum(a != b for a, b in zip(path, path[1:]))
+    for d in range(len(texts)):
+        at = np.flatnonzero(w.doc == d)
+        if len(at):
+            best = max(value(at, path) for path in itertools.product(range(3), repeat=len(at)))
+            assert value(at, labels[at].tolist()) == pytest.approx(best, abs=1e-3)
+
+
 def test_language_spans(spark):
     rows = [("the house of the man and the woman is there", "en"), ("das haus und der mann ist nicht mit dem kind", "de")] * 5
     model = language.train_language(spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id long, text string, lang string"))
@@ -174,13 +208,15 @@ def test_ppm_end_word(docs, monkeypatch):
 
 
 def test_token_files(docs, empty):
-    enc = tokenfiles.encoder(tokenfiles.default_tokenizer())
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenfiles.default_tokenizer())
     files = tokenfiles.write_tokens(docs)
     rows = tokenfiles.read_tokens(files).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, 0, 1, 2, 3, 4, 4, *range(5, len(TEXTS))]
     at = 0
     for r in rows:
-        ids = enc.library.encode("no id at all here" if r.doc_id is None else TEXTS[r.doc_id] or "", add_special_tokens=False).ids + [2]
+        ids = library.encode("no id at all here" if r.doc_id is None else TEXTS[r.doc_id] or "", add_special_tokens=False).ids + [2]
         assert r.ids == ids and r.start == at and r.n_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
     block = max(files.collect(), key=lambda r: r["size"]).asDict()
@@ -190,6 +226,33 @@ def test_token_files(docs, empty):
     assert tokenfiles.read_tokens(tokenfiles.write_tokens(empty)).count() == 0
 
 
+def test_token_fuzz(spark):
+    """Odd texts, special tokens among them, against a fresh tokenizer."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenfiles.default_tokenizer())
+    rng = np.random.default_rng(8)
+    bits = ["a", "the", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "'s", "'ll", "1", "23", "é", "ß", "日本", "!", "...", "<|endoftext|>", "<|", "|>", "\x00", "\U0001f600", "A", "don't", "_", "-", "\r\n", "\u0301"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(3000)]
+    got = by_id(tokenfiles.read_tokens(tokenfiles.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))))
+    assert all(got[i].ids == library.encode(t, add_special_tokens=False).ids + [tokenfiles.END] for i, t in enumerate(texts))
+
+
+def test_grammar():
+    """No pair that saves room is left, rules expand to the ids whatever their length, and pairs never reach across documents."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 500, 900)
+    docs = [np.append(passage if i % 3 else rng.integers(0, 500, 300), 2) for i in range(60)] + [np.full(1000, 7), np.array([2])]
+    ids, counts = np.concatenate(docs).astype(np.int32), np.array([len(x) for x in docs])
+    g = tokenfiles.repair(ids, counts, 500)
+    grammar = tokenfiles.expansions(g["left"], g["right"], g["lens"], 500)
+    assert (tokenfiles.expand(g["seq"], grammar) == ids).all() and g["lens"].max() > tokenfiles.SHORT
+    parts = [g["seq"][a:b] for a, b in zip(g["at"], g["at"][1:])]
+    assert [tokenfiles.expand(x, grammar).tolist() for x in parts] == [x.tolist() for x in docs]
+    pairs = Counter((int(a), int(b)) for x in parts for a, b in zip(x, x[1:]))
+    assert max(pairs.values(), default=0) < tokenfiles.LEAST and len(g["seq"]) + 3 * len(g["left"]) < len(ids) / 2
+
+
 def test_special_tokens(spark):
     from tokenizers import Tokenizer
 
@@ -242,6 +305,50 @@ def test_least_similarity(spark):
         assert got == {i for i in range(len(texts)) if i % 2 == 0 or share[i // 2] < least}
 
 
+def test_small_slices(spark):
+    """Texts of 0 to 6 words alone and together: the windows of a slice never reach beyond it."""
+    words = "a b c d e f".split()
+    for n in range(7):
+        text = " ".join(words[:n])
+        assert [len(x) for x in neardup.shingle_sets([text])] == [max(min(n, 1), n - 4)]
+        assert [len(x) for x in neardup.shingle_sets([text, "", text + " x"])] == [max(min(n, 1), n - 4), 0, max(1, n - 3)]
+        rows = by_id(neardup.near_duplicates(spark.createDataFrame([(1, text), (2, text.upper())], "doc_id long, text string")))
+        assert rows[2].component_id == (1 if n else 2) and rows[1].n_shingles == max(min(n, 1), n - 4)
+
+
+def test_planted_pairs(spark):
+    """All links, by brute force, among copies between 0.70 and 0.95 of the same texts; several ids for a text and several texts for an id too."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(25):
+        base = [f"w{k}x{i}" for i in rng.integers(0, 400, int(rng.integers(60, 500)))]
+        for _ in range(12):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), max(1, len(copy) // int(rng.integers(40, 160)))):
+                copy[at] = f"v{rng.integers(0, 10**9)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    part, links = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same and 100 * same >= 85 * (len(sets[i]) + len(sets[j]) - same):
+                links += 1
+                a, b = part[i], part[j]
+                part = [min(a, b) if x in (a, b) else x for x in part]
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)))
+    assert links > 200 and [got[i].component_id for i in range(len(texts))] == part
+    several = [(5, texts[0]), (5, "one other text of seven words here"), (7, "one other text of seven words here"), (3, texts[0]), (9, "nothing like the others at all now")]
+    got = neardup.near_duplicates(spark.createDataFrame(several, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 9)]
+
+
+def test_blocks(spark, monkeypatch):
+    """A bucket cut into blocks gives the links that it gives whole."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    test_planted_pairs(spark)
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(20)] + [(50, 60), (60, 55), (7, 7), (100, 101), (101, 100)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect()}
@@ -261,6 +368,37 @@ def test_license_spans(spark):
     assert (r[1].n_base, r[1].first_word, r[1].last_word) == (2, 0, 2)
 
 
+def test_license_pieces(spark):
+    """A piece that repeats is not the notice; the notice behind repeated pieces is."""
+    rows = [(1, "licensed under cc licensed under cc licensed under cc by"), (2, "licensed under cc " * 10 + "by nc 4 0"), (3, "a b " + "licensed under cc by 4 0 " * 2), (4, "licensed licensed under under cc cc by by nc 4 0")]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert (got[1].labels, got[1].score) == ("", 0)
+    assert got[2].labels == "cc-by-nc" and [(x.lo, x.hi) for x in got[2].spans] == [(27, 34)]
+    assert [(x.lo, x.hi, x.label) for x in got[3].spans] == [(2, 8, "cc-by"), (8, 14, "cc-by")] and got[4].labels == ""
+
+
+@pytest.mark.parametrize("name", ["op5_quality_rules", "op7_license_scan"])
+def test_edge_sql(docs, name, tmp_path):
+    """The SQL of a query and the query agree on null, empty, long, repeated and odd texts."""
+    more = [(100 + i, t) for i, t in enumerate(["MIT license apache license; General Public\nLicense", "licensed under cc " * 3 + "by", "é mit License", "a\n\na\n a \n\x0b", "!! !! ##", "a b c d e " * 4])]
+    spark = docs.sparkSession
+    docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(ORACLES[name]).df()
+    got = QUERIES[name](spark, str(tmp_path)).toPandas()[want.columns.tolist()]
+    clean = lambda df: sorted(map(repr, df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
+    norm = lambda rows: [x.replace("np.float64", "").replace(".0", "") for x in rows]
+    assert norm(clean(got)) == norm(clean(want)) and len(want) > 20
+
+
+def test_license_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{SF}/documents.parquet'")
+    want = sorted(map(tuple, con.sql(ORACLES["op7_license_scan"]).fetchall()), key=str)
+    assert sorted(map(tuple, QUERIES["op7_license_scan"](spark, SF).collect()), key=str) == want
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 64))
@@ -276,6 +414,27 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_ranges(spark):
+    """Components near the limits of a double, and ids that come with several vectors."""
+    rows = [(1, [1e200, 0.0, 1e200]), (2, [2e200, 0.0, 2e200]), (3, [1e-200, 0.0, 1e-200]), (4, [0.0, 1e-300, 0.0]), (5, [1.0, 0.0, 1.0]), (5, [0.0, 1.0, 0.0]), (6, [0.0, 0.0, 5e-324])]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 1, 4), (5, 1, 4), (5, 3, 1), (6, 0, 6)]
+
+
+def test_embedding_recall(spark):
+    """Planted neighbours at cosines about 0.95 to 0.99, dense groups too, against brute force."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(600, 64))
+    near = [base[i % 200] + rng.normal(size=64) * rng.uniform(0.1, 0.34) for i in range(900)]
+    dense = [base[0] + rng.normal(size=64) * 0.18 for _ in range(150)]
+    x = np.float32(np.concatenate([base, near, dense]))
+    got = by_vec(embeddings.near_vectors(spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")))
+    u = embeddings.unit(x.astype(float))
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert want.sum() > 10_000 and (found <= want).all() and found.sum() >= 0.99 * want.sum()
+
+
 def test_embedding_lengths(spark):
     """Vectors of any length link with those of their own, copies included."""
     rng = np.random.default_rng(2)
@@ -294,22 +453,33 @@ def test_toxicity(docs, empty, labels):
     model = toxicity.fit_fm(text, np.array([0] * 40 + [1] * 40))
     assert model.score(["you moron", "a good friend"]).round().tolist() == [1, 0]
     assert toxicity.score_toxicity(empty, model).count() == 0 and toxicity.score_toxicity(docs, toxicity.fit_fm([], np.array([]))).count() == docs.count()
-    assert len(toxicity.sample_labelled(docs, labels, ["toxic"])) >= 3
+    sample = toxicity.sample_labelled(docs, labels, F.col("toxic"))
+    assert sorted((r._id, r._label) for r in sample.collect()) == [(4, 0), (7, 0), (11, 0), (12, 1)]
+    one = toxicity.fitted(sample, toxicity.doc_terms, lambda doc, place, y: toxicity.fit_places(doc, place, np.array(y, float)))
+    assert one.score(["идиот", "lazy fox"])[0] > 0.2 and toxicity.fitted(sample.limit(0), toxicity.doc_terms, lambda doc, place, y: (len(doc), len(place), len(y))) == (0, 0, 0)
 
 
 def test_interactions():
-    """A label that only the pair of two terms tells is learned."""
+    """A label that only the pair of two terms tells is learned, alone and among other words."""
     text = ["alpha beta", "alpha gamma", "delta beta", "delta gamma"] * 60
     y = np.array([1, 0, 0, 1] * 60)
-    model = toxicity.FactorizationMachine(np.empty(0, int), 0, np.empty(0), np.empty((0, 2)))
-    doc, place = toxicity.doc_terms(text)
-    places = np.unique(place)
-    model = toxicity.FactorizationMachine(places, 0.0, np.zeros(len(places)), np.zeros((len(places), 1)))
-    one = {w: np.isin(places, toxicity.doc_terms([w])[1]) for w in ("alpha", "beta", "gamma", "delta")}
-    k = {w: 2 / m.sum() for w, m in one.items()}
-    for w, s in (("alpha", 1), ("beta", 1), ("gamma", -1), ("delta", -1)):
-        model.factors[one[w], 0] = s * k[w]
-    assert ((model.score(text) > model.score(text).mean()).astype(int) == y).all()
+    assert (toxicity.fit_fm(text, y).score(text).round() == y).all()
+    rng = np.random.default_rng(0)
+    fill = "one two three four five six seven eight nine ten eleven twelve".split()
+    for rule in (lambda a, b: a and b, lambda a, b: a == b):
+        rows = [(rng.random(2) < 0.5, [str(x) for x in rng.choice(fill, 6)]) for _ in range(1500)]
+        text = [" ".join(rng.permutation([*w, "stupid" if p[0] else "clever", "group" if p[1] else "table"])) for p, w in rows]
+        y = np.array([int(rule(*p)) for p, _ in rows])
+        model = toxicity.fit_fm(text[:1200], y[:1200])
+        assert (model.score(text[1200:]).round() == y[1200:]).mean() > 0.97
+
+
+def test_toxicity_held_out(spark):
+    """Labelled rows of the fold that taught nothing: toxic ones found, clean ones left alone."""
+    sf = "/root/testdata/sf0.1"
+    got = QUERIES["op9_toxicity"](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    toxic, clean = [r for r in got if r.toxic], [r for r in got if not r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic) and sum(r.predicted for r in clean) <= 0.005 * len(clean)
 
 
 def test_mixing(docs, empty, labels):
@@ -323,18 +493,83 @@ def test_rates(spark):
     p = rng.dirichlet([0.3, 0.3], 400)
     t = rng.integers(1, 100, 400)
     df = spark.createDataFrame([(i, int(t[i]), float(p[i, 0]), float(p[i, 1])) for i in range(400)], "doc_id long, n_tokens long, p0 double, p1 double")
-    rates, shares = mixing.fit_rates(df, ["x", "y"], {"x": 0.8, "y": 0.2}, lam=0.0, steps=200)
-    assert shares == pytest.approx([0.8, 0.2], abs=0.01)
-    r = np.array([x.rate for x in rates.orderBy("doc_id").collect()])
-    assert (r >= 0).all() and ((r * t) @ p / t.sum()) == pytest.approx(shares, abs=1e-9)
+    for target in (0.8, 0.99):
+        rates, shares, want = mixing.fit_rates(df, ["x", "y"], {"x": target, "y": 1 - target})
+        assert shares == pytest.approx([target, 1 - target], abs=mixing.CLOSE) and want == pytest.approx([target, 1 - target])
+        r = np.array([x.rate for x in rates.orderBy("doc_id").collect()])
+        assert (r >= 0).all() and ((r * t) @ p / t.sum()) == pytest.approx(shares, abs=1e-9)
+    with pytest.warns(UserWarning, match="miss the targets"):
+        mixing.fit_rates(df.withColumn("p0", F.lit(1.0)).withColumn("p1", F.lit(0.0)), ["x", "y"], {"x": 0.5, "y": 0.5})
+
+
+def test_mixing_targets(spark):
+    """The whole operator: words at the fitted rates, by the members' posteriors, hit the targets; a scarce domain has rates far above 1."""
+    rare = {"clean": 0.5, "toxic": 0.3, "low": 0.2}
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    for targets in (mixing.TARGETS, rare):
+        rows = mixing.mix(docs, labels, targets).collect()
+        assert {r.domain for r in rows} <= set(targets) and all(abs(r.copies - r.rate) < 1 and r.rate >= 0 for r in rows)
+        for r in rows:
+            assert r.share == pytest.approx(r.target, abs=mixing.CLOSE) and r.target == targets[r.domain]
+    assert max(r.rate for r in rows) > 2
 
 
 def test_pipeline(spark):
+    """The near-duplicate stage against brute force at 0.80, the others against their operators."""
     import corpus_pipeline as c
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     a = c.quality(spark, docs, SF)
     assert a.columns == docs.columns and a.count() == QUERIES["op5_quality_rules"](spark, SF).filter("kept").count()
+    rows = sorted((r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect())
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()) for _, w in rows]
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same and 100 * same >= 80 * (len(sets[i]) + len(sets[j]) - same):
+                x, y = part[i], part[j]
+                part = [min(x, y) if v in (x, y) else v for v in part]
     b = c.near_dedup(spark, docs, SF)
-    assert b.columns == docs.columns and b.count() == QUERIES["op6_minhash_neardup"](spark, SF).filter("kept").count()
+    assert b.columns == docs.columns and sorted(r.doc_id for r in b.collect()) == [rows[i][0] for i in range(len(rows)) if part[i] == i]
     assert c.language(spark, docs, SF).columns == docs.columns == c.mixing(spark, docs, SF).columns
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Every stage on null, empty, long, tied and repeated rows, with columns named like the operators' own, and on an empty table."""
+    import corpus_pipeline as c
+
+    own = "row, kept, score, lang_pred, spans, _copies, copies, rate, _kept, id, order, n_words, broken, _t, _w, mark, cid, rep, n, n_tokens, exact, col, share, odd name-x"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{x.strip()}` string" for x in own.split(","))
+    n = len(own.split(","))
+    good = " ".join(WORDS)
+    data = [(i, t, "en", None, None, *["mine"] * n) for i, t in enumerate(TEXTS)]
+    data += [data[4], (4, good + " and other words", "en", None, None, *["mine"] * n), (None, good, None, None, None, *["mine"] * n), (None, None, None, None, None, *["mine"] * n)]
+    docs = spark.createDataFrame(data, schema).repartition(3)
+    spark.createDataFrame([(4, 1, 0), (5, 1, 0), (12, 0, 1), (11, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        assert out.columns == docs.columns and all(r[x.strip()] == "mine" for r in rows for x in own.split(",")), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        if name in ("quality", "language"):
+            assert all(r.text for r in rows) and sum(r.doc_id == 4 for r in rows) == 3
+        if name == "near_dedup":
+            assert sum(r.doc_id == 4 for r in rows) == 1 and sum(r.doc_id is None for r in rows) == 2 and not any(r.doc_id == 5 for r in rows) and any(r.doc_id == 0 for r in rows)
+        if name == "mixing":
+            assert sum(r.doc_id is None for r in rows) == 2 and any(r.doc_id == 0 for r in rows)
+    out = c.encoding(spark, docs, str(tmp_path)).collect()
+    assert len(out) == len(data) and all(r.exact for r in out) and c.encoding(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_run(spark, tmp_path):
+    """The whole pipeline is its stages one after the other; only kept documents come out, each encoded exactly."""
+    import corpus_pipeline as c
+
+    out = c.run(spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in c.STAGES[:2]:
+        docs = stage(spark, docs, SF)
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    lib = pieces.piece_table(pieces.default_model()).library
+    assert out and all(r.exact and r.ids == lib.encode(kept[r.doc_id]) for r in out)
