@@ -16,7 +16,8 @@ BOT = "dependabot[bot]"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A base table; its files are listed and its schema is read once a session."""
+    return known(spark, sf_dir, f"table {name}", lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"), keep=False)
 
 
 def case(column: str, names: dict[str, str]) -> str:
@@ -44,18 +45,18 @@ _K = "CAST(get_json_object(props, '$.k') AS BIGINT)"
 _known: dict[tuple, object] = {}
 
 
-def known(spark: SparkSession, sf_dir: str, name: str, make):
-    """What ``make`` gives, kept for the session and folder; tables are kept by Spark (memory, then disk, made again if an executor is lost)."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def known(spark: SparkSession, sf_dir: str, name: str, make, keep: bool = True):
+    """What ``make`` gives, remembered for the session and folder; with ``keep`` tables' rows are kept by Spark (memory, then disk, made again if an executor is lost)."""
+    key = (spark.sparkContext.applicationId, id(spark._jsparkSession), sf_dir, name)
     if key not in _known:
         made = make()
-        _known[key] = made.persist() if isinstance(made, DataFrame) else made
+        _known[key] = made.persist() if keep and isinstance(made, DataFrame) else made
     return _known[key]
 
 
 def forget(sf_dir: str) -> None:
     """Drops what is kept of a folder, for tables that have changed."""
-    for key in [k for k in _known if k[1] == sf_dir]:
+    for key in [k for k in _known if k[2] == sf_dir]:
         made = _known.pop(key)
         if isinstance(made, DataFrame):
             made.unpersist()
