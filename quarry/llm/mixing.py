@@ -1,22 +1,26 @@
 """Mixing towards target weights with soft membership.
 
 A softmax classifier over hashed terms and coarse measures of form, fitted on a sample of labelled rows of a bounded expected
-size, gives each document's posterior over the domains of the labelled table. Document rates r >= 0 then minimise
+size, gives each document's posterior over the domains of the labelled table. Document rates r >= 0 then solve
 
-    1/2 sum_k (sum_i r_i t_i p_ik / T - w_k)^2 / m_k  +  LAMBDA/2 sum_i t_i / T (r_i - 1)^2
+    sum_i r_i t_i p_ik / T = w_k     (t: words, T: all words, p: posterior, w: target share)
 
-(t: words, T: all words, p: posterior, w: target share, m: share at rate 1) by projected gradient steps in the metric t_i / T,
-in which a step of 1 / (1 + LAMBDA) is safe. A step needs only the residuals of K domains from the step before: each is one
-aggregation over the table of (t, p), in which rates are expressions; nothing else comes to the driver. Documents are then taken floor(rate + u)
-times, u in [0, 1) from a hash of the id, so expected totals are those fitted.
+by least squares, from r = 1, with projected gradient steps: r_i <- max(0, r_i - sum_k p_ik d_k), where d solves G d = residual and
+G_kl = sum t_i p_ik p_il / T over the documents that can still move. A step is one aggregation over the table of (t, p), in which rates are
+expressions of the steps so far, and gives K residuals and K x K products; nothing else comes to the driver. Rates have no upper bound.
+Steps end when every share is within ``CLOSE`` of its target; where that can't be reached (no document of a domain), a warning says so, and the
+result carries each domain's reached share beside its target. Documents are then taken floor(rate + u) times, u in [0, 1) from a hash of the id, so expected
+totals are those fitted.
 
-Null and empty texts have no words: they weigh nothing and keep rate 1. Without labels of any kind the only domain is
-``all``. Domains without labelled rows drop out and the others' targets are scaled up. Repeated rows get equal rates and copies, an
-empty table gives an empty result, other columns pass through ``mixed_documents`` untouched.
+Null and empty texts have no words: they weigh nothing and keep rate 1. Texts of any length are taken whole. Without labels of any kind
+the only domain is ``all``. Domains without labelled rows drop out and the others' targets are scaled up. Of equally likely domains
+the first by name is named. Repeated rows get equal rates and copies, an empty table gives an empty result, other columns pass
+through ``mixed_documents`` untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import UPPER, slices, table, texts_of, written
 from .textvec import mixed, word_hashes, words_of
-from .toxicity import sample_labelled
+from .toxicity import fitted, sample_labelled
 
-#: Target shares of words by domain, and the largest rate.
+#: Target shares of words by domain.
 TARGETS = {"clean": 0.92, "toxic": 0.05, "low": 0.03}
-MOST = 8.0
-BITS, TERMS, TRAIN_ROWS, LAMBDA, STEPS, CLOSE = 20, 2048, 10_000, 0.01, 40, 1e-4
+BITS, TERMS, TRAIN_ROWS, STEPS, CLOSE = 20, 2048, 10_000, 30, 1e-4
 
 
 def domain_of() -> Column:
@@ -80,14 +83,13 @@ class Domains:
         return z / z.sum(1, keepdims=True)
 
 
-def fit_domains(texts: list[str], labels: list[str], steps: int = 150, decay: float = 1e-3) -> Domains:
+def fit_domains(doc: np.ndarray, place: np.ndarray, labels: list[str], steps: int = 150, decay: float = 1e-3) -> Domains:
+    """The classifier for rows given as (row, place) of each distinct feature, sorted, and the rows' domains."""
     names = sorted(set(labels))
     if not names:
         return Domains(["all"], np.empty(0, np.int64), np.zeros((1, 0)), np.zeros(1))
     y = np.eye(len(names))[[names.index(x) for x in labels]]
-    n = len(texts)
-    parts = [features(texts[i : i + 1000])[:2] for i in range(0, n, 1000)]
-    doc, place = np.concatenate([d + 1000 * i for i, (d, _) in enumerate(parts)]), np.concatenate([p for _, p in parts])
+    n = len(labels)
     seen, share = np.bincount(place, minlength=1 << BITS), y.mean(0)
     z = np.zeros(1 << BITS)
     for k in range(len(names)):
@@ -128,60 +130,75 @@ def soft_members(docs: DataFrame, model: Domains, text: str = "text", key: str =
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, " + ", ".join(f"p{i} double" for i in range(k)))
 
 
-def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], most: float = MOST, lam: float = LAMBDA, steps: int = STEPS) -> tuple[DataFrame, list[float]]:
-    """``members`` with a column ``rate``, and the shares that the rates give."""
+def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], steps: int = STEPS, close: float = CLOSE) -> tuple[DataFrame, list[float], list[float]]:
+    """``members`` with a column ``rate``, the shares that the rates give, and the shares that were asked for."""
     k = len(names)
-    sums = lambda df, r: df.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), *[F.coalesce(F.sum(F.col("n_tokens") * r * F.col(f"p{i}")), F.lit(0.0)) for i in range(k)]).first()
-    total, *mass = sums(members, F.lit(1.0))
-    if not total:
-        return members.withColumn("rate", F.lit(1.0)), [0.0] * k
-    mass = np.array(mass) / total
-    want = np.array([targets.get(x, 0.0) for x in names])
-    want = want / want.sum() if want.sum() else mass
-    eta, history, now = 1 / (1 + lam), [], mass
+    history: list[np.ndarray] = []
+
+    def step(r: Column, d: Column) -> Column:
+        for i in range(k):
+            r = r - F.col(f"p{i}") * d[i]
+        return F.greatest(F.lit(0.0), r)
 
     def rate() -> Column:
-        """All steps so far, from their residuals, as one expression: nothing is written between steps."""
+        """All steps so far as one expression: nothing is written between steps."""
         if not history:
             return F.lit(1.0)
-        past = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in history])
-
-        def step(r: Column, e: Column) -> Column:
-            g = lam * (r - 1)
-            for i in range(k):
-                g = g + F.col(f"p{i}") * e[i]
-            return F.least(F.lit(most), F.greatest(F.lit(0.0), r - eta * g))
-
-        return F.aggregate(past, F.lit(1.0), step)
+        return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in d]) for d in history]), F.lit(1.0), step)
+
+    def sums(ask: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Words, shares, products over documents of a rate above zero, and over those that a step towards ``ask`` would raise."""
+        df = members.select("*", rate().alias("_r"))
+        t = F.col("n_tokens")
+        up = sum((F.col(f"p{i}") * float(ask[i]) for i in range(k)), F.lit(0.0)) > 0
+        moves = t * F.when((F.col("_r") > 0) | up, 1.0).otherwise(0.0)
+        cells = [F.sum(moves * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(i, k)]
+        got = df.agg(F.sum(t), *[F.sum(t * F.col("_r") * F.col(f"p{i}")) for i in range(k)], *cells).first()
+        total = float(got[0] or 0)
+        values = np.array([float(x or 0) for x in got[1:]]) / max(total, 1.0)
+        gram = np.zeros((k, k))
+        gram[np.triu_indices(k)] = values[k:]
+        return total, values[:k], gram + np.triu(gram, 1).T
 
+    want = np.array([targets.get(x, 0.0) for x in names])
+    total, now, gram = sums(np.zeros(k))
+    if not total:
+        return members.withColumn("rate", F.lit(1.0)), [0.0] * k, want.tolist()
+    want = want / want.sum() if want.sum() else now
+    size = 1.0
     for _ in range(steps):
-        if np.abs(now - want).max() < CLOSE:
-            break
-        history.append((now - want) / np.maximum(mass, 1e-9))
-        now = np.array(sums(members, rate())[1:]) / total
-        if len(history) > 1 and np.abs(now - before).max() < CLOSE / 10:
+        if np.abs(now - want).max() < close or size < 1 / 64:
             break
-        before = now
-    return members.withColumn("rate", F.when(F.col("n_tokens") > 0, rate()).otherwise(1.0)), now.tolist()
+        history.append(size * np.linalg.lstsq(gram, now - want, rcond=1e-10)[0])
+        _, then, product = sums(want - now)
+        if np.linalg.norm(then - want) < np.linalg.norm(now - want):
+            now, gram, size = then, product, min(1.0, 2 * size)
+        else:  # too far, where many rates fall to zero at once: half as far
+            history.pop()
+            size /= 2
+    if np.abs(now - want).max() >= close:
+        warnings.warn(f"mixing: shares {dict(zip(names, now.round(4).tolist()))} miss the targets {dict(zip(names, want.round(4).tolist()))}", stacklevel=2)
+    return members.withColumn("rate", F.when(F.col("n_tokens") > 0, rate()).otherwise(1.0)), now.tolist(), want.tolist()
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, domain (the likeliest), rate and copies."""
-    found = sample_labelled(docs, labels.filter("quality IS NOT NULL AND toxic IS NOT NULL").select(key, domain_of().alias("domain")), ["domain"], TRAIN_ROWS, text, key, "mixing")
-    model = fit_domains(found["_text"].tolist(), found["domain"].tolist())
+    """One row per input row: doc_id, n_tokens, domain (the likeliest), the share it reaches and its target, rate and copies."""
+    sample = sample_labelled(docs, labels.filter("quality IS NOT NULL AND toxic IS NOT NULL"), domain_of(), TRAIN_ROWS, text, key, "mixing")
+    model = fitted(sample, lambda texts: features(texts)[:2], fit_domains)
     k = len(model.names)
-    members, _ = fit_rates(written(soft_members(docs, model, text, key), "mixing-members"), model.names, targets)
+    members, reached, want = fit_rates(written(soft_members(docs, model, text, key), "mixing-members"), model.names, targets)
     best = F.greatest(*[F.col(f"p{i}") for i in range(k)]) if k > 1 else F.col("p0")
-    domain = F.coalesce(*[F.when(F.col(f"p{i}") == best, F.lit(model.names[i])) for i in range(k)])
+    of = lambda values: F.coalesce(*[F.when(F.col(f"p{i}") == best, F.lit(values[i])) for i in range(k)])
     u = (F.xxhash64(F.col(key).cast("string"), F.lit("copies")).bitwiseAND((1 << 53) - 1)) / float(1 << 53)
-    return members.select(key, "n_tokens", domain.alias("domain"), "rate", F.floor(F.col("rate") + u).cast("long").alias("copies"))
+    return members.select(key, "n_tokens", of(model.names).alias("domain"), of(reached).alias("share"), of(want).alias("target"), "rate", F.floor(F.col("rate") + u).cast("long").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents, each as often as its copies say; rows without an id have rate 1."""
-    counts = mix(docs, labels, targets, text, key).filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(counts, F.col(key) == F.col("_key"), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return taken.filter("_copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """The documents, each as often as its copies say; rows without an id have rate 1. Their columns may have any names."""
+    counts = mix(docs.select(key, text), labels, targets, text, key).filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max("copies").alias("copies"))
+    whole = docs.select(F.col(key).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = whole.filter("id IS NOT NULL").join(counts, "id").select("row", "copies").unionByName(whole.filter("id IS NULL").select("row", F.lit(1).cast("long").alias("copies")))
+    return taken.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
