@@ -132,7 +132,7 @@ def train_language(docs: DataFrame, train_docs: int = TRAIN_DOCS, text: str = "t
 
 def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, text: str = "text", keep: tuple[str, ...] = ("doc_id",), spans: bool = True) -> DataFrame:
     """One row per input row: ``keep``, lang_pred, score and (where asked) the labelled spans of words."""
-    df = docs.select(*keep, text)
+    df = docs.select(*keep, *[text] * (text not in keep))
     at = len(keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = with_columns(df.schema.fields[:at], "lang_pred string, score double" + ", spans array<struct<lang:string,first:int,words:int>>" * spans)
