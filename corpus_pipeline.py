@@ -44,8 +44,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of languages that hold as many letters the first by name counts. Where no row is labelled every text leaves.
     """
     model = train_language(docs.filter(fold(F.col("doc_id"), 5) != 0).select("doc_id", "text", "lang"))
-    known = identify(packed(docs), model, keep=("row",), spans=False)
-    return known.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    others = [c for c in docs.columns if c != "text"]
+    parted = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")  # the text travels once
+    known = identify(parted, model, keep=("row", "text"), spans=False).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return known.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
