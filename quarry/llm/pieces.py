@@ -28,7 +28,7 @@ from .common import slices, table, texts_of
 
 BLANK_MARK = "▁"
 #: Parts, and pairs of tokens, that a worker remembers.
-CACHE, PAIRS = 400_000, 1_000_000
+CACHE, PAIRS = 100_000, 250_000
 INF = 1 << 60
 
 

@@ -3,15 +3,17 @@
 import hashlib
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import components, embeddings, language, licenses, mixing, neardup, pieces, ppm, quality, textvec, tokenfiles, toxicity
+from quarry.llm import common, components, embeddings, language, licenses, mixing, neardup, pieces, ppm, quality, textvec, tokenfiles, toxicity
 from quarry.llm.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +57,24 @@ def test_pieces(docs, empty):
     assert pieces.encode_pieces(empty).count() == 0 and pieces.encode_pieces(docs).count() == len(TEXTS) + 2
 
 
+def test_worker_memory():
+    """What a worker holds at once: slices of a large batch, and remembered parts."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 1000)) for _ in range(1200)]
+    tracemalloc.start()
+    try:
+        for batch in common.slices(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])):
+            neardup.shingle_sets(common.texts_of(batch))
+        assert tracemalloc.get_traced_memory()[1] < 120 << 20
+        table = pieces.PieceTable(pieces.default_model())
+        before = tracemalloc.get_traced_memory()[0]
+        for i in range(250):
+            table.chunks(" ".join(f"q{x}" for x in range(1000 * i, 1000 * i + 1000)))
+        assert tracemalloc.get_traced_memory()[0] - before < 80 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_language(docs, empty):
     model = language.train_language(docs)
     got = by_id(language.identify(docs, model))
