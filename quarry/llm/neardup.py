@@ -3,9 +3,10 @@
 Words are parted by \\x20 and \\x09-\\x0D after lower-casing A-Z; a document's set holds its distinct 5-word shingles (all its words
 as one with fewer). Documents of equal sets form a class, represented by its smallest id. Bands of minima, as many as the
 least similarity asks for (``Plan``), miss a pair at it with a probability below 1e-8. Buckets are rows of two numbers (band
-hash, class). First each class is compared with the least class of each of its buckets; then, where members of a bucket still
-lie in different components, its members are compared in blocks, until none is left: no candidate is dropped, whatever a bucket's
-size. A pair of the first kind needs agreeing minima (their lowest bytes), one of the second kind a like sketch (the least shingle in each of
+hash, class). First each class is compared with one class, the least that it meets in any bucket; then, in buckets that still hold several
+components, with the least class of each where that is in another one; then, where the other members of a bucket still
+lie in different components, they are compared in blocks, until none is left: no candidate is dropped, whatever a bucket's
+size. A pair of the first two kinds needs agreeing minima (their lowest bytes), one of the third kind a like sketch (the least shingle in each of
 ``BINS`` ranges of hashes); a pair at the least similarity fails either with a probability of about 1e-6. Then its whole sets are compared.
 
 Null texts and texts without words have empty sets and link with nothing; texts of any length are taken whole. Rows without an
@@ -199,6 +200,14 @@ def _verified(pairs: DataFrame, candidates: DataFrame, plan: Plan) -> DataFrame:
     return both.select(F.col("ar").alias("a"), F.col("br").alias("b"), "at", "bt").mapInArrow(run, "a long, b long")
 
 
+def _torn(members: DataFrame, part: DataFrame) -> DataFrame:
+    """(a, b) of classes where b meets a as the least class of a bucket, and the two lie in different components c."""
+    rows = members.join(part, "cid")
+    own = F.max(F.when(F.col("cid") == F.col("least"), F.col("c")))
+    torn = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), own.alias("least_c")).filter("lo != hi").select("key", "least_c")
+    return rows.join(torn, "key").filter("cid != least AND c != least_c").select(F.col("least").alias("a"), F.col("cid").alias("b")).distinct()
+
+
 def _apart(members: DataFrame, part: DataFrame) -> DataFrame:
     """(key, cid, c, c_rows) of the members, but for the least one that all have met, of buckets that hold several components c."""
     rows = members.filter("cid != least").select("key", "cid").join(part, "cid")
@@ -210,7 +219,7 @@ def _near(rest: DataFrame, candidates: DataFrame, plan: Plan) -> DataFrame:
     """Pairs (a, b) of classes of one bucket and different components whose sketches are alike: blocks of a bucket against each other.
 
     A pair is compared in the first band that it shares only: that bucket is among the rows, or the pair has met there as a least
-    class and another.
+    class and another, and has been compared or linked by then.
     """
     blocks = F.ceil(F.col("c_rows") / BLOCK).cast("int")
     own = rest.withColumn("_n", blocks).withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_n")).cast("int"))
@@ -276,18 +285,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     members = written(buckets.join(shared, "key"), "neardup-members")
     wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "rep", "n", "mark", "sig", "bands")
     candidates = _candidates(wanted, texts)
-    first = members.filter("cid != least").select(F.col("least").alias("a"), F.col("cid").alias("b")).distinct()
+    first = members.filter("cid != least").groupBy("cid").agg(F.min("least").alias("a")).select("a", F.col("cid").alias("b"))
     links = written(_verified(_agreeing(first, candidates, plan), candidates, plan).unionByName(same).distinct(), "neardup-links")
-    found = components(links)
 
-    part = candidates.select("cid", "rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("c"))
+    def parts(found: DataFrame) -> DataFrame:
+        return candidates.select("cid", "rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("c"))
+
+    found = components(links)
+    others = written(_torn(members, parts(found)), "neardup-pairs")
+    if not others.isEmpty():
+        # what is linked goes on as a star: a row for each class, however many links there are
+        stars = found.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        discard(links)
+        links = written(_verified(_agreeing(others, candidates, plan), candidates, plan).unionByName(stars).distinct(), "neardup-links")
+        found = components(links)
+    part = parts(found)
     rest = written(_apart(members, part), "neardup-rest")
     if not rest.isEmpty():
         more = written(_verified(_near(rest, candidates, plan), candidates, plan).distinct(), "neardup-links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
         discard(more)
-    discard(members, candidates, links, rest)
+    discard(members, candidates, others, links, rest)
 
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("mark").alias("_mark"), F.coalesce("component", "rep").alias("_component"))
     out = signed.join(named, F.col("mark") == F.col("_mark"), "left")

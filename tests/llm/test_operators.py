@@ -363,6 +363,15 @@ def test_planted_pairs(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 9)]
 
 
+def test_few_pairs(spark, monkeypatch):
+    """A group of near copies is compared about once a class, not once a class and band."""
+    rng, base, counts, real = np.random.default_rng(5), [f"w{i}" for i in range(300)], [], neardup._agreeing
+    texts = [" ".join([*base[:at], "other", *base[at + 1 :]]) for at in rng.permutation(300)[:120].tolist()]
+    monkeypatch.setattr(neardup, "_agreeing", lambda pairs, *rest: counts.append(pairs.count()) or real(pairs, *rest))
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and sum(counts) <= 240
+
+
 def test_blocks(spark, monkeypatch):
     """A bucket cut into blocks gives the links that it gives whole."""
     monkeypatch.setattr(neardup, "BLOCK", 3)
