@@ -7,7 +7,8 @@ hash, class). First each class is compared with one class, the least that it mee
 components, with the least class of each where that is in another one; then, where the other members of a bucket still
 lie in different components, they are compared in blocks, until none is left: no candidate is dropped, whatever a bucket's
 size. A pair of the first two kinds needs agreeing minima (their lowest bytes), one of the third kind a like sketch (the least shingle in each of
-``BINS`` ranges of hashes); a pair at the least similarity fails either with a probability of about 1e-6. Then its whole sets are compared.
+``BINS`` ranges of hashes); a pair at the least similarity fails either with a probability of about 1e-6. Then its whole sets are compared:
+those of the third kind where they meet, so pairs that fail are never rows, and a block gives at most one link less than it has components.
 
 Null texts and texts without words have empty sets and link with nothing; texts of any length are taken whole. Rows without an
 id get no component and are kept; rows that repeat an id are one document, so all their texts' classes are linked. Ties are
@@ -30,8 +31,8 @@ from .components import components
 from .textvec import MIX, mixed
 
 WINDOW, SIMILAR = 5, 85
-#: Ranges of hashes in a sketch; members of a bucket that are compared at once.
-BINS, BLOCK = 1024, 512
+#: Ranges of hashes in a sketch; members of a bucket that are compared at once, and about how many shingles these hold.
+BINS, BLOCK, BLOCK_SHINGLES = 1024, 512, 1 << 20
 #: Standard deviations that a pair at the least similarity may lie from what is expected.
 DEVIATIONS = 4.77
 
@@ -60,6 +61,15 @@ class Plan:
         return (differ <= used * (1 - s) + DEVIATIONS * spread + 2) & (100 * np.minimum(n, ns) >= self.similar * np.maximum(n, ns))
 
 
+    def linked(self, one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        """Which of the other whole sets (sorted) are similar enough."""
+        sizes = np.array([len(x) for x in others], np.int64)
+        rest = np.concatenate(others)
+        found = one[np.minimum(np.searchsorted(one, rest), len(one) - 1)] == rest
+        both = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes) - sizes)
+        return 100 * both >= self.similar * (len(one) + sizes - both)
+
+
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[32, *range(9, 14)]] = True
 
@@ -144,7 +154,7 @@ def signatures(docs: DataFrame, plan: Plan, text: str = "text", key: str = "doc_
 
 
 def _candidates(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cid, rep, n, sig, bands, sketch, text) of the wanted classes, each with a text of its representative; a row that repeats is taken once a task."""
+    """(cid, rep, n, sig, bands, sketch, set, text) of the wanted classes, each with a text of its representative; a row that repeats is taken once a task."""
     both = wanted.join(docs, F.col("rep") == F.col("_doc")).select("cid", "rep", "n", "mark", "sig", "bands", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +168,10 @@ def _candidates(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 own[i] = own[i] and x not in seen
                 if own[i]:
                     seen.add(x)
-            out = [*(batch.column(i) for i in (0, 1, 2, 4, 5)), pa.array([sketch(x) for x in sets], pa.binary()), batch.column(6)]
-            yield pa.RecordBatch.from_arrays(out, ["cid", "rep", "n", "sig", "bands", "sketch", "text"]).filter(pa.array(own, pa.bool_()))
+            out = [*(batch.column(i) for i in (0, 1, 2, 4, 5)), pa.array([sketch(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()), batch.column(6)]
+            yield pa.RecordBatch.from_arrays(out, ["cid", "rep", "n", "sig", "bands", "sketch", "set", "text"]).filter(pa.array(own, pa.bool_()))
 
-    found = both.mapInArrow(run, "cid long, rep long, n long, sig binary, bands array<long>, sketch binary, text string")
+    found = both.mapInArrow(run, "cid long, rep long, n long, sig binary, bands array<long>, sketch binary, set binary, text string")
     return written(found, "neardup-candidates")
 
 
@@ -209,23 +219,23 @@ def _torn(members: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, part: DataFrame) -> DataFrame:
-    """(key, cid, c, c_rows) of the members, but for the least one that all have met, of buckets that hold several components c."""
+    """(key, cid, c, c_rows, c_shingles) of the members, but for the least one that all have met, of buckets that hold several components c."""
     rows = members.filter("cid != least").select("key", "cid").join(part, "cid")
-    torn = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("c_rows")).filter("lo != hi").select("key", "c_rows")
-    return rows.join(torn, "key")
+    torn = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("c_rows"), F.sum("n").alias("c_shingles")).filter("lo != hi").select("key", "c_rows", "c_shingles")
+    return rows.select("key", "cid", "c").join(torn, "key")
 
 
 def _near(rest: DataFrame, candidates: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b) of classes of one bucket and different components whose sketches are alike: blocks of a bucket against each other.
+    """Links (a, b) of representatives that join the components in a bucket: blocks of it against each other, by sketches, then by whole sets.
 
     A pair is compared in the first band that it shares only: that bucket is among the rows, or the pair has met there as a least
-    class and another, and has been compared or linked by then.
+    class and another, and has been compared or linked by then. Components that a link of the block has joined are one from then on.
     """
-    blocks = F.ceil(F.col("c_rows") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("c_rows") / BLOCK, F.col("c_shingles") / BLOCK_SHINGLES)).cast("int")
     own = rest.withColumn("_n", blocks).withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_n")).cast("int"))
     placed = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     placed = placed.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "cid", "c")
-    wide = placed.join(candidates.select("cid", "n", "bands", "sketch"), "cid")
+    wide = placed.join(candidates.select("cid", "rep", "n", "bands", "sketch", "set"), "cid")
     dealt = wide.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,20 +244,24 @@ def _near(rest: DataFrame, candidates: DataFrame, plan: Plan) -> DataFrame:
 
         def pairs() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
-            cid, c, n, place = (rows.column(x).to_numpy() for x in ("cid", "c", "n", "_own"))
+            cid, rep, n, place = (rows.column(x).to_numpy() for x in ("cid", "rep", "n", "_own"))
+            c = rows.column("c").to_numpy().copy()
+            sets = [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()]
             flat = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(cid), BINS)
             bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
             earlier = bands[:, : int(np.argmax(bands[0] == last[0]))]
             one_block = last[1] == last[2]
-            out: list[tuple[np.ndarray, np.ndarray]] = []
+            out: list[tuple[int, int]] = []
             for x in range(len(cid)):
                 others = np.flatnonzero((c != c[x]) & ((cid > cid[x]) if one_block else (place > place[x])))
                 others = others[~(earlier[others] == earlier[x]).any(1)]
+                others = others[plan.alike(flat[x], flat[others], n[x], n[others])]
                 if len(others):
-                    near = others[plan.alike(flat[x], flat[others], n[x], n[others])]
-                    out.append((np.minimum(cid[x], cid[near]), np.maximum(cid[x], cid[near])))
-            a, b = (np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    for y in others[plan.linked(sets[x], [sets[i] for i in others])]:
+                        if c[y] != c[x]:
+                            out.append((rep[x], rep[y]))
+                            c[c == c[y]] = c[x]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -264,7 +278,7 @@ def _near(rest: DataFrame, candidates: DataFrame, plan: Plan) -> DataFrame:
         if held:
             yield pairs()
 
-    return dealt.select("key", "i", "j", "_own", "cid", "c", "n", "bands", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("key", "i", "j", "_own", "cid", "rep", "c", "n", "bands", "sketch", "set").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: int = SIMILAR) -> DataFrame:
@@ -289,7 +303,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     links = written(_verified(_agreeing(first, candidates, plan), candidates, plan).unionByName(same).distinct(), "neardup-links")
 
     def parts(found: DataFrame) -> DataFrame:
-        return candidates.select("cid", "rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("c"))
+        return candidates.select("cid", "rep", "n").distinct().join(found, F.col("rep") == F.col("node"), "left").select("cid", "n", F.coalesce("component", "rep").alias("c"))
 
     found = components(links)
     others = written(_torn(members, parts(found)), "neardup-pairs")
@@ -302,7 +316,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     part = parts(found)
     rest = written(_apart(members, part), "neardup-rest")
     if not rest.isEmpty():
-        more = written(_verified(_near(rest, candidates, plan), candidates, plan).distinct(), "neardup-links")
+        more = written(_near(rest, candidates, plan), "neardup-links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
         discard(more)

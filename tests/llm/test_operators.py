@@ -378,6 +378,27 @@ def test_blocks(spark, monkeypatch):
     test_planted_pairs(spark)
 
 
+@pytest.mark.parametrize("shingles", [neardup.BLOCK_SHINGLES, 5000])
+def test_near_misses(spark, monkeypatch, shingles):
+    """A group of copies just under the threshold gives as many rows as classes at most, not its pairs; components by brute force."""
+    rng, base, counts, real = np.random.default_rng(8), [f"w{i}" for i in range(300)], [], neardup._near
+    texts = []
+    for _ in range(120):
+        at = set(rng.permutation(300)[:3].tolist())
+        texts.append(" ".join(f"v{rng.integers(0, 10**9)}" if i in at else w for i, w in enumerate(base)))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    part = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = part[i], part[j]
+                part = [min(a, b) if x in (a, b) else x for x in part]
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(neardup, "_near", lambda *args: counts.append(real(*args).count()) or real(*args))
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert counts and sum(counts) <= len(texts) and 2 < len(set(part)) and [got[i].component_id for i in range(len(texts))] == part
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(20)] + [(50, 60), (60, 55), (7, 7), (100, 101), (101, 100)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect()}
