@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, slices, table, texts_of, with_columns, written
+from .common import fold, slices, table, texts_of, trim, with_columns, written
 
 ORDER, MOST_NODES, HOT, HOT_BYTES = 5, 1_500_000, 60_000, 64
 END_WORD = b""
@@ -59,12 +59,13 @@ class Costs:
     """log10 costs of the most frequent whole contexts with a byte, looked up by hash; the others are told apart."""
 
     def __init__(self, codes: np.ndarray, costs: np.ndarray, order: int = ORDER):
-        by = np.argsort(codes, kind="stable")
-        self.codes, self.costs, self.order = codes[by].astype(np.uint64), costs[by].astype(np.float64), order
+        self.codes, self.costs, self.order = codes.view(np.uint64), costs, order  # sorted where they are used: the driver makes no copies
 
     def prepare(self) -> None:
         """Of codes that share a slot the one with the least cost holds it, the others are searched."""
         if not hasattr(self, "keys"):
+            by = np.argsort(self.codes, kind="stable")
+            self.codes, self.costs = self.codes[by], self.costs[by]
             self.bits = max(10, int(1.4 * len(self.codes)).bit_length())
             by = np.argsort(self.costs, kind="stable")
             slot = self.slot(self.codes[by])
@@ -161,14 +162,15 @@ def count_corpus(train: DataFrame, text: str = "text", order: int = ORDER) -> Da
 
 
 def threshold(counted: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` rows reach, from the histogram of all counts (as many rows as there are different counts)."""
-    total, least = 0, 1 << 62
-    for r in counted.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-        total += r["count"]
-        if total > most:
-            return least
-        least = r["n"]
-    return 1
+    """The least count that at most ``most`` rows reach, from the histogram of all counts (as many rows as there are different counts).
+
+    It is collected at once: an iterator would run a job for each partition, and the driver remembers them all.
+    """
+    histogram = counted.groupBy("n").count().toArrow()
+    n, rows = (histogram[c].to_numpy() for c in ("n", "count"))
+    by = np.argsort(-n)
+    reached = int((np.cumsum(rows[by]) <= most).sum())
+    return 1 if reached == len(n) else int(n[by[reached - 1]]) if reached else 1 << 62
 
 
 def low_bytes(code: str, n: int) -> Column:
@@ -220,11 +222,15 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", keep: tup
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = threshold(vocabulary, HOT)
     is_hot = ((F.col("n") >= least) & (F.length("word") <= HOT_BYTES)) | (F.col("word") == F.lit(END_WORD))  # the end closes every text
-    hot = {bytes(r["word"]): r["n"] for r in vocabulary.filter(is_hot).toLocalIterator()}
+    often = vocabulary.filter(is_hot).toArrow()
+    hot = dict(zip(often["word"].to_pylist(), often["n"].to_pylist()))
     costs = written(code_costs(grams), "ppm-costs")
     frequent = costs.filter(F.col("n") >= threshold(costs, MOST_NODES)).select("code", "cost").toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(({w: log10(n + 1) for w, n in hot.items()}, Costs(*(frequent[c].to_numpy() for c in ("code", "cost")))))
-    del frequent
+    codes, prices = (frequent[c].to_numpy() for c in ("code", "cost"))
+    del frequent, often
+    trim()
+    shared = docs.sparkSession.sparkContext.broadcast(({w: log10(n + 1) for w, n in hot.items()}, Costs(codes, prices)))
+    del codes, prices
     scale = log10(total + distinct + 1)
     df = docs.select(*keep, text)
     at = len(keep)

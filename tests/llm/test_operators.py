@@ -217,6 +217,24 @@ def test_ppm_large_model(spark):
     assert ppm.score_texts(df(asked), df(letters)).first().score == pytest.approx(out)
 
 
+def test_ppm_threshold(spark):
+    """The driver runs as many jobs however many partitions the histogram has."""
+    want, context = {100: 42, 99: 43, 1: 1 << 62, 2: 140, 5000: 1}, spark.sparkContext
+    asked = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in asked}
+    counted = spark.range(2, 141).unionByName(spark.range(140, 141)).withColumnRenamed("id", "n")
+    try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("threshold", "")
+        assert {most: ppm.threshold(counted, most) for most in want} == want
+        assert len(context.statusTracker().getJobIdsForGroup("threshold")) <= 3 * len(want)
+    finally:
+        context._jsc.clearJobGroup()
+        for k, v in were.items():
+            spark.conf.set(k, v)
+
+
 def test_ppm_end_word(docs, monkeypatch):
     """The end counts as a word also when no word is broadcast."""
     train = docs.filter("doc_id < 8")
