@@ -40,12 +40,19 @@ BLOCK, TOP, LEAST = 1 << 21, 60_000, 4
 SHORT = 256
 #: Chunks that a worker remembers.
 CACHE = 1_000_000
+#: New chunks that are encoded in one text, and in one call.
+ROW, GROUP = 32, 8192
 SPACED = re.compile(r"\s*\S+|\s+")
-#: ASCII marks that a run of marks may hold, letters that every Unicode version knows, and the letters that stand for bytes.
-MARKS, PLAIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "\u0250"
-SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_LETTERS = dict(zip(SHOWN, SHOWN)) | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in SHOWN)}
-UNEVEN = re.compile(r"\s ")
+#: Letters that every Unicode version knows.
+WORD = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: A blank behind white space (all that ``\s`` is to Python), for Arrow.
+UNEVEN = "[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] "
+
+
+def spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)
 
 
 def default_tokenizer() -> str:
@@ -65,89 +72,121 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
-        self.line = self.library.encode("\n", add_special_tokens=False).ids
-        self.atoms: dict[str, list[int]] = {}
+        opens = np.zeros(self.size, bool)  # ids of tokens that begin with a blank
+        opens[[i for token, i in self.library.get_vocab(with_added_tokens=False).items() if token[:1] == "\u0120" and i < self.size]] = True
+        self.opens = opens
+        self.parts = not any(x.content[:1].isalpha() for x in self.library.get_added_tokens_decoder().values())
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.offs, self.used = np.empty(1 << 20, np.int32), np.zeros(1 << 16, np.int64), 0
+        self.slices = np.zeros(1 << 16, np.int32)  # how many slices held each chunk
+
+    def forget(self) -> None:
+        """Keeps the chunks that more than one slice held, where they leave room for others."""
+        kept = np.flatnonzero(self.slices[: len(self.known)] > 1)
+        if len(kept) > CACHE // 2:
+            kept = kept[:0]
+        keys = list(self.known)
+        keys = [keys[i] for i in kept.tolist()]
+        sizes = self.offs[kept + 1] - self.offs[kept]
+        flat = self.ids[spans(self.offs[kept], sizes)]
+        self.reset()
+        self.add(keys, flat, sizes)
+
+    def add(self, keys: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.known), len(keys)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while n + m + 1 > len(self.offs):
+            self.offs = np.concatenate([self.offs, np.zeros_like(self.offs)])
+            self.slices = np.concatenate([self.slices, np.zeros_like(self.slices)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.offs[n + 1 : n + m + 1] = self.used + np.cumsum(sizes)
+        self.used += len(flat)
+        self.known.update(zip(keys, range(n, n + m)))
+
+    def joined(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and sizes of chunks of a blank and a key, encoded in rows of ``ROW`` chunks; None if they cannot be told apart.
+
+        Keys hold no blank and end in no white space, so that a chunk's first token, and no other, begins with a blank.
+        """
+        rows = [x.ids for x in self.library.encode_batch_fast([" " + " ".join(keys[i : i + ROW]) for i in range(0, len(keys), ROW)], add_special_tokens=False)]
+        lengths = np.array([len(x) for x in rows])
+        flat = np.fromiter(chain.from_iterable(rows), np.int32, lengths.sum())
+        begin = np.flatnonzero(self.opens[flat])
+        row = np.concatenate([[0], np.cumsum(lengths)])
+        borders = np.searchsorted(begin, row)
+        if not np.array_equal(borders, np.minimum(np.arange(len(row)) * ROW, len(keys))) or not self.opens[flat[row[:-1]]].all():
+            return None
+        return flat, np.diff(begin, append=len(flat))
+
+    def plain(self, keys: list[str]) -> None:
+        for i in range(0, len(keys), GROUP):
+            part = keys[i : i + GROUP]
+            found = self.joined(part)
+            if found is None:
+                self.single(part)
+            else:
+                self.add(part, *found)
 
-    def atom(self, piece: str) -> list[int]:
-        """Ids of one word or mark as the pattern parts them, by the library's model on its byte letters."""
-        if piece.isascii():  # a blank in front at most
-            letters = "\u0120" + piece[1:] if piece[0] == " " else piece
-        else:
-            letters = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
-        found = self.atoms[piece] = [x.id for x in self.library.model.tokenize(letters)]
-        return found
-
-    def simple(self, key: str) -> list[int] | None:
-        """Ids of a chunk of lines of one word and marks each; None for any other."""
-        if key.isalpha() and max(key) < PLAIN:
-            return self.atoms.get(" " + key) or self.atom(" " + key)
-        lead, body = ("", key[1:]) if key[:1] == " " else (" ", key)
-        out: list[int] = []
-        for i, line in enumerate(body.split("\n")):
-            word = line.rstrip(MARKS)
-            if not word.isalpha() or max(word) >= PLAIN:
-                return None
-            if i:
-                out += self.line
-            piece = lead + word if i == 0 else word
-            out += self.atoms.get(piece) or self.atom(piece)
-            if len(word) < len(line):
-                out += self.atoms.get(line[len(word) :]) or self.atom(line[len(word) :])
-        return out
+    def single(self, keys: list[str]) -> None:
+        lists = [x.ids for x in self.library.encode_batch_fast([x[1:] if x[:1] == " " else " " + x for x in keys], add_special_tokens=False)]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        self.add(keys, np.fromiter(chain.from_iterable(lists), np.int32, sizes.sum()), sizes)
 
     def learn(self, keys: list[str]) -> None:
-        """Encodes new chunks. A key with a blank in front stands for the chunk behind it, any other for the chunk of a blank and the key."""
-        if len(self.atoms) > CACHE // 2:
-            self.atoms = {}
-        lists, done, rest = [], [], []
+        """Encodes new chunks. A key with a blank in front stands for the chunk behind it, any other for the chunk of a blank and the key.
+
+        The pattern parts a word from the mark or line end behind it: of such chunks word and rest are encoded, each once, the rest behind a letter.
+        """
+        plain, single, parted, pieces = [], [], [], []
+        match = WORD.match if self.parts else lambda key: None
         for key in keys:
-            ids = self.simple(key)
-            if ids is None:
-                rest.append(key)
+            if key.isalpha():
+                plain.append(key)
+            elif not key or " " in key or key[-1].isspace():
+                single.append(key)
+            elif (word := match(key)) and key[end := word.end()] < "\x80" and word[0] != "a":
+                parted.append(key)
+                pieces += key[:end], "a" + key[end:]
             else:
-                lists.append(ids)
-                done.append(key)
-        if rest:
-            lists += [x.ids for x in self.library.encode_batch([x[1:] if x[:1] == " " else " " + x for x in rest], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in lists])
-        found = [(done + rest, np.fromiter(chain.from_iterable(lists), np.int32, sizes.sum()), sizes)]
-        for part, flat, sizes in found:
-            n, m = len(self.known), len(part)
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            while n + m + 1 > len(self.offs):
-                self.offs = np.concatenate([self.offs, np.zeros_like(self.offs)])
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.offs[n + 1 : n + m + 1] = self.used + np.cumsum(sizes)
-            self.used += len(flat)
-            self.known.update(zip(part, range(n, n + m)))
+                plain.append(key)
+        self.plain(plain)
+        self.single(single)
+        known = self.known
+        self.plain([x for x in dict.fromkeys(["a", *pieces] if pieces else pieces) if x not in known])
+        if pieces:
+            index = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+            self.slices[index] += 1
+            begin, end = self.offs[index], self.offs[index + 1]
+            begin[1::2] += self.offs[known["a"] + 1] - self.offs[known["a"]]
+            self.add(parted, self.ids[spans(begin, end - begin)], (end - begin).reshape(-1, 2).sum(1))
 
     def look_up(self, keys: list[str]) -> np.ndarray:
         index = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
         lost = np.flatnonzero(index < 0)
         if len(lost):
-            new = list(dict.fromkeys([keys[i] for i in lost.tolist()]))
-            self.learn(new)
-            index[lost] = [self.known[keys[i]] for i in lost.tolist()]
+            new = [keys[i] for i in lost.tolist()]
+            self.learn(list(dict.fromkeys(new)))
+            index[lost] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        self.slices[index] += 1
         return index
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by the end id, and each text's number of ids."""
         if len(self.known) > CACHE:
-            self.reset()
+            self.forget()
         # Even texts (single blanks between chunks): first chunks here, the rest parted and told apart by Arrow.
         keys: list[str] = []
         own, rests = np.zeros(len(texts), np.int64), []
+        uneven = pc.match_substring_regex(pa.array(texts, pa.string()), UNEVEN).to_pylist()
         for i, text in enumerate(texts):
             rest = None
             if not text:
                 pass
-            elif UNEVEN.search(text) or text[0].isspace() or text[-1].isspace():
+            elif uneven[i] or text[0].isspace() or text[-1].isspace():
                 parts = [x[1:] if x[0] == " " and " " not in x[1:] else " " + x for x in SPACED.findall(text)]
                 keys += parts
                 own[i] = len(parts)
@@ -161,7 +200,7 @@ class Encoder:
         lists = pc.split_pattern(pa.array(rests, pa.string()), " ")
         more = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        index, parts = self.look_up(keys), self.look_up(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        index, parts = self.look_up(keys), self.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         sizes_ = own + more
         ends = np.cumsum(sizes_)
         is_own = np.ones(int(ends[-1]) if len(ends) else 0, bool)
@@ -171,7 +210,7 @@ class Encoder:
         index = both
         begin, sizes = self.offs[index], self.offs[index + 1] - self.offs[index]
         ends = np.cumsum(sizes)
-        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)]
+        flat = self.ids[spans(begin, sizes)]
         last = np.cumsum(sizes_)
         total = np.concatenate([[0], ends])[last] if len(ends) else np.zeros(len(texts), np.int64)
         counts = np.diff(np.concatenate([[0], total])).astype(np.int64)
@@ -195,14 +234,21 @@ def repair(ids: np.ndarray, counts: np.ndarray, base: int, top: int = TOP, least
     seq, last = ids.astype(np.int32), np.zeros(len(ids), bool)
     last[np.cumsum(counts) - 1] = True
     left, right = [], []
-    fresh, bits, rough = base, 18, 18
+    fresh, bits, wide = base, 18, 20
     slot = lambda x, n: ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - n)).astype(np.int32)
+    maybe = ~last  # pairs that may still come often: all at first, then those that did and those with a symbol of the round before
     while len(seq) >= 2:
-        code = (seq[:-1].astype(np.int64) << 32) | seq[1:]
-        inside = np.flatnonzero(~last[:-1])
-        code_in = code[inside]
-        place = slot(code_in, rough)
-        ordered = np.sort(code_in[np.bincount(place, minlength=1 << rough)[place] >= least])  # rarer pairs cannot come so often
+        if fresh == base:  # no pair is left out; a code of its own stands at each document's end
+            code_in = (seq[:-1].astype(np.int64) << 32) | seq[1:]
+            ends = np.flatnonzero(last[:-1])
+            code_in[ends] = ~ends
+            inside = slice(0, len(code_in))
+        else:
+            inside = np.flatnonzero(maybe[:-1])
+            code_in = (seq[inside].astype(np.int64) << 32) | seq[inside + 1]
+        far = slot(code_in, wide)
+        place = far >> (wide - bits)
+        ordered = np.sort(code_in[np.flatnonzero((np.bincount(place, minlength=1 << bits) >= least)[place])])  # rarer pairs cannot come so often
         if not len(ordered):
             break
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
@@ -217,21 +263,27 @@ def repair(ids: np.ndarray, counts: np.ndarray, base: int, top: int = TOP, least
         keys[s[::-1]] = chosen[::-1]  # the more frequent pair keeps a shared slot
         kept = chosen[keys[s] == chosen]
         names[slot(kept, bits)] = fresh + np.arange(len(kept), dtype=np.int32)
-        s = slot(code_in, bits)
-        hit = keys[s] == code_in
-        at, name = inside[hit], names[s[hit]]
+        hit = np.flatnonzero(keys[place] == code_in)
+        at, name = hit if fresh == base else inside[hit], names[place[hit]]
+        frequent = np.zeros(1 << wide, bool)
+        frequent[slot(ordered[edge[often]], wide)] = True
+        maybe[inside] = frequent[far]
         new_run = np.concatenate([[True], np.diff(at) > 1])
-        start = at[new_run][np.cumsum(new_run) - 1]
-        first = (at - start) % 2 == 0
+        start = np.maximum.accumulate(np.where(new_run, at, 0))
+        first = np.flatnonzero((at - start) & 1 == 0)
         at, name = at[first], name[first]
         left.append((kept >> 32).astype(np.int32))
         right.append((kept & 0xFFFFFFFF).astype(np.int32))
         fresh += len(kept)
         seq[at] = name
         last[at] = last[at + 1]
-        gone = np.ones(len(seq), bool)
-        gone[at + 1] = False
-        seq, last = seq[gone], last[gone]
+        maybe[at] = True
+        maybe[np.maximum(at, 1) - 1] = True
+        stays = np.ones(len(seq), bool)
+        stays[at + 1] = False
+        stays = np.flatnonzero(stays)
+        seq, last, maybe = seq[stays], last[stays], maybe[stays]
+        maybe &= ~last
     left_, right_ = (np.concatenate(x) if x else np.empty(0, np.int32) for x in (left, right))
     lens = np.ones(len(left_), np.int32)
     size = np.concatenate([np.ones(base, np.int32), lens])
@@ -246,12 +298,19 @@ def repair(ids: np.ndarray, counts: np.ndarray, base: int, top: int = TOP, least
 
 def expansions(left: np.ndarray, right: np.ndarray, lens: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
     """Expansions of the symbols of up to ``SHORT`` ids one after the other, with starts and lengths (0 for longer ones), and the rules."""
-    found: list[list[int]] = []
-    for a, b, n in zip(left.tolist(), right.tolist(), lens.tolist()):
-        found.append(([a] if a < base else found[a - base]) + ([b] if b < base else found[b - base]) if n <= SHORT else [])
     size = np.concatenate([np.ones(base, np.int64), np.where(lens <= SHORT, lens, 0).astype(np.int64)])
-    flat = np.concatenate([np.arange(base, dtype=np.int32), np.fromiter(chain.from_iterable(found), np.int32, int(size[base:].sum()))])
-    return flat, np.cumsum(size) - size, size, left, right
+    start = np.cumsum(size) - size
+    flat = np.empty(int(size.sum()), np.int32)
+    flat[:base] = np.arange(base, dtype=np.int32)
+    newest = np.maximum.accumulate(np.maximum(left, right))  # the last symbol named so far: rules up to it can be expanded together
+    done = 0
+    while done < len(left):
+        end = int(np.searchsorted(newest, base + done))
+        rules = done + np.flatnonzero(size[base + done : base + end])
+        for part, into in ((left[rules], start[base + rules]), (right[rules], start[base + rules] + size[left[rules]])):
+            flat[spans(into, size[part])] = flat[spans(start[part], size[part])]
+        done = end
+    return flat, start, size, left, right
 
 
 def expand(seq: np.ndarray, grammar: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -265,9 +324,7 @@ def expand(seq: np.ndarray, grammar: tuple[np.ndarray, ...]) -> np.ndarray:
         rule = seq[long] - base
         out[ends[long] - 2], out[ends[long] - 1] = left[rule], right[rule]
         seq = out
-    n = size[seq]
-    ends = np.cumsum(n)
-    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[seq] - (ends - n), n)]
+    return flat[spans(start[seq], size[seq])]
 
 
 def decode_range(block: dict, doc: int, begin: int, end: int) -> np.ndarray:

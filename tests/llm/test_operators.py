@@ -291,6 +291,55 @@ def test_grammar():
     assert max(pairs.values(), default=0) < tokenfiles.LEAST and len(g["seq"]) + 3 * len(g["left"]) < len(ids) / 2
 
 
+def test_grammar_work(monkeypatch):
+    """Later rounds count only pairs that may come often again, and no pair is lost: every round takes the pairs that counting all of them finds."""
+    rng = np.random.default_rng(5)
+    ids, counts = (rng.zipf(1.3, 60_000) % 900).astype(np.int32), np.full(600, 100)
+    ids[5000:9000] = np.tile(np.arange(40, dtype=np.int32), 100)
+    sizes, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **k: (sizes.append(len(x)), bincount(x, *a, **k))[1])
+    g = tokenfiles.repair(ids, counts, 900)
+    assert len(sizes) > 4 and sizes[-1] < sizes[0] / 20
+    parts = [g["seq"][a:b].tolist() for a, b in zip(g["at"], g["at"][1:])]
+    pairs = Counter(pair for x in parts for pair in zip(x, x[1:]))
+    assert max(pairs.values()) < tokenfiles.LEAST
+    seq, done, rules = np.split(ids, np.cumsum(counts)[:-1]), 0, list(zip(g["left"].tolist(), g["right"].tolist()))
+    seq = [x.tolist() for x in seq]
+    while done < len(rules):  # the rules of a round: up to the first that names one of them
+        often = {pair for pair, n in Counter(pair for x in seq for pair in zip(x, x[1:])).items() if n >= tokenfiles.LEAST}
+        end = next((i for i in range(done, len(rules)) if rules[i] not in often), len(rules))
+        assert end > done
+        name = {rules[i]: 900 + i for i in range(done, end)}
+        for x in seq:
+            at = 0
+            while at < len(x) - 1:
+                if (x[at], x[at + 1]) in name:
+                    x[at : at + 2] = [name[x[at], x[at + 1]]]
+                at += 1
+        done = end
+    assert seq == parts
+
+
+def test_joined_chunks(monkeypatch):
+    """Chunks encoded together get the ids they have alone, and where they cannot be told apart they are encoded alone."""
+    from tokenizers import Tokenizer
+
+    enc, library = tokenfiles.Encoder(tokenfiles.default_tokenizer()), Tokenizer.from_file(tokenfiles.default_tokenizer())
+    keys = ["word", "don't", "'s", "a\nb", "\n\tc", "\u00a0x", "é,", "日本", "<|endoftext|>", "a<|endoftext|>b", "\x00", "\u0120", "\U0001f600!", "a", "a.", "a,a", "b.", "word.", "word'll", "word\nword.", *(f"w{i}." for i in range(100))]
+    want = [library.encode(" " + x, add_special_tokens=False).ids for x in keys]
+    flat, sizes = enc.joined(keys)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == want
+    text = " ".join(["x", *keys])
+    ids, counts = enc.encode([text])
+    monkeypatch.setattr(tokenfiles, "CACHE", 100)  # all is forgotten but what comes again
+    assert all(enc.encode([text])[0].tolist() == ids.tolist() for _ in range(3))
+    enc.opens[:] = False
+    assert enc.joined(keys) is None
+    enc.reset()
+    ids, counts = enc.encode([text])
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids + [tokenfiles.END] and counts.tolist() == [len(ids)]
+
+
 def test_special_tokens(spark):
     from tokenizers import Tokenizer
 
