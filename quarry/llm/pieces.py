@@ -7,7 +7,8 @@ compatibility is tested on the merge trees (and remembered), each prefix keeps i
 backwards from the end. Runs of blanks, whose pieces break the order of merges, are merged directly.
 
 No piece of such a model goes on from another character into a blank, so a text falls into independent parts before each
-run of blanks; the encodings of up to ``CACHE`` short parts are remembered. Null and empty texts have no ids and decode to an empty text. Repeated rows are
+run of blanks, and a word parts from the marks behind it where no piece holds these two characters side by side. The encodings of up to
+``CACHE`` short parts are remembered, those met again lately longest. Null and empty texts have no ids and decode to an empty text. Repeated rows are
 encoded each by itself, an empty table gives an empty result, other columns of the input are ignored. Texts of any length are encoded whole.
 Ties: of merges of equal rank the leftmost comes first, as in the library.
 """
@@ -17,8 +18,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
 from functools import cached_property
-from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -28,7 +29,8 @@ from .common import slices, table, texts_of
 
 BLANK_MARK = "▁"
 #: Parts, and pairs of tokens, that a worker remembers.
-CACHE, PAIRS = 100_000, 250_000
+CACHE, PAIRS = 400_000, 250_000
+WORD = re.compile(r"[^\W\d_]+")
 INF = 1 << 60
 
 
@@ -62,13 +64,19 @@ class PieceTable:
                 self.ids[p.piece], self.rank[p.piece] = i, -p.score
             elif p.type == 6:
                 self.bytes[int(p.piece[3:5], 16)] = i
+        self.raw = {piece: i.to_bytes(4, sys.byteorder) for piece, i in self.ids.items()}
+        self.raw_bytes = [i.to_bytes(4, sys.byteorder) for i in self.bytes]
+        self.names = [str(i) for i in range(len(model.pieces))]
         self.inside = {a + b for p in self.ids for a, b in zip(p, p[1:])}
         self.split: dict[str, tuple[str, str] | None] = {}
         self.odd: set[str] = set()
         self._learn()
         self.n_pairs = 0
         self.spines: tuple[dict, dict] = ({}, {})
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        # ids (int32 in bytes) of parts, of a blank and a word by the word, and of words not met since the last change
+        self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.loose = all(x[1] != BLANK_MARK or x[0] == BLANK_MARK for x in self.inside)
 
     def _learn(self) -> None:
@@ -85,7 +93,7 @@ class PieceTable:
                 if any(len(x) > 1 and (x not in self.split or self.rank[x] >= self.rank[piece] or x in self.odd) for x in last):
                     self.odd.add(piece)
             # with each token: the tokens known to stand or not to stand before it; none is kept for pieces that break the order of merges
-            self.auto.add_word(piece, (piece, len(piece), None if piece in self.odd else {}))
+            self.auto.add_word(piece, (piece, len(piece), None if piece in self.odd else {"": True}))
         self.auto.make_automaton()
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
@@ -138,71 +146,80 @@ class PieceTable:
             for *_, known in self.auto.values():
                 if known:
                     known.clear()
-        last: list[str | None] = [None] * (len(part) + 1)
-        compatible = self.compatible
+                    known[""] = True
+        # the token that ends the encoding up to each character; behind them the one before the first character
+        last: list[str | None] = [None] * len(part)
+        last.append("")
         for end, (token, size, known) in self.auto.iter(part):
-            end += 1
             if last[end] is None:
                 if known is None:
                     return self.merged(part)[0]
-                begin = end - size
-                if begin:
-                    before = last[begin]
-                    if before is None:  # a character without a piece ends there
-                        before = last[begin] = part[begin - 1]
-                    fits = known.get(before)
-                    if fits is None:
-                        fits = known[before] = compatible(before, token)
-                        self.n_pairs += 1
-                    if fits:
-                        last[end] = token
-                else:
+                before = last[end - size]
+                if before is None:  # a character without a piece ends there
+                    before = last[end - size] = part[end - size]
+                fits = known.get(before)
+                if fits is None:
+                    fits = known[before] = self.compatible(before, token)
+                    self.n_pairs += 1
+                if fits:
                     last[end] = token
-        out, at = [], len(part)
-        while at:
-            token = last[at] or part[at - 1]
+        out, at = [], len(part) - 1
+        while at >= 0:
+            token = last[at] or part[at]
             out.append(token)
             at -= len(token)
         out.reverse()
         return out
 
-    def chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a chunk that starts and ends at borders, and the same as text."""
+    def encoded(self, chunk: str) -> bytes:
+        """Ids of a chunk that starts and ends at borders, as int32."""
+        raw = self.raw
+        try:
+            return b"".join([raw[token] for token in self.tokens(chunk)])
+        except KeyError:  # a character without a piece: its bytes
+            return b"".join([raw.get(token) or b"".join([self.raw_bytes[x] for x in token.encode()]) for token in self.tokens(chunk)])
+
+    def chunk(self, chunk: str) -> bytes:
         found = self.cache.get(chunk)
         if found is None:
-            ids, out = self.ids, []
-            for token in self.tokens(chunk):
-                known = ids.get(token)
-                if known is None:
-                    out += [self.bytes[x] for x in token.encode()]
-                else:
-                    out.append(known)
-            found = (tuple(out), ",".join(map(str, out)))
+            found = self.encoded(chunk)
             if len(chunk) <= 64:
-                if len(self.cache) >= CACHE:
+                if len(self.cache) >= CACHE // 10:
                     self.cache.clear()
                 self.cache[chunk] = found
         return found
 
+    def word(self, word: str) -> bytes:
+        """Ids of a blank and a word that holds none, as int32."""
+        found = self.words.get(word) or self.older.get(word)
+        if found is None:
+            head = WORD.match(word)
+            if head and (end := head.end()) < len(word) and word[end - 1 : end + 1] not in self.inside:
+                found = self.word(head[0]) + self.chunk(word[end:])
+            else:
+                found = self.encoded(BLANK_MARK + word)
+        if len(word) <= 64:
+            if len(self.words) >= CACHE // 2:
+                self.older, self.words = self.words, {}
+            self.words[word] = found
+        return found
+
     @cached_property
     def runs(self) -> re.Pattern:
         return re.compile(f"{BLANK_MARK}*[^{BLANK_MARK}]+|{BLANK_MARK}+")
 
-    def chunks(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+    def chunks(self, text: str) -> list[bytes]:
+        """Ids of the parts of a text, as int32."""
         if not text:
             return []
+        if self.loose and self.prefix and "  " not in text and text[0] != " " and text[-1] != " " and BLANK_MARK not in text:
+            get, make = self.words.get, self.word
+            return [get(x) or make(x) for x in text.split(" ")]
         text = self.prefix + text.replace(" ", BLANK_MARK)
-        if not self.loose:
-            return [self.chunk(text)]
-        if BLANK_MARK * 2 in text or text[0] != BLANK_MARK or text[-1] == BLANK_MARK:
-            parts = self.runs.findall(text)
-        else:
-            parts = [BLANK_MARK + x for x in text[1:].split(BLANK_MARK)]
-        get, make = self.cache.get, self.chunk
-        return [get(x) or make(x) for x in parts]
+        return [self.chunk(x) for x in (self.runs.findall(text) if self.loose else [text])]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(x[0] for x in self.chunks(text)))
+        return memoryview(b"".join(self.chunks(text))).cast("i").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The library's own decoding."""
@@ -227,14 +244,14 @@ def encode_pieces(docs: DataFrame, model: str | None = None, text: str = "text",
 
     def run(batches):
         pieces = piece_table(model)
+        name = pieces.names
         for batch in slices(batches, text):
             out = [[] for _ in range(6)]
             for body in texts_of(batch, text):
-                chunks = pieces.chunks(body)
-                numbers = list(chain.from_iterable([x[0] for x in chunks]))
+                numbers = pieces.encode(body)
                 back = pieces.decode(numbers)
                 out[0].append(len(numbers))
-                out[1].append(hashlib.sha256(",".join([x[1] for x in chunks]).encode()).hexdigest())
+                out[1].append(hashlib.sha256(",".join([name[x] for x in numbers]).encode()).hexdigest())
                 out[2].append(hashlib.sha256(back.encode()).hexdigest())
                 out[5].append(back == body)
                 if ids:

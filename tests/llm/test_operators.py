@@ -57,6 +57,27 @@ def test_pieces(docs, empty):
     assert pieces.encode_pieces(empty).count() == 0 and pieces.encode_pieces(docs).count() == len(TEXTS) + 2
 
 
+def test_piece_parts(monkeypatch):
+    """Words and the marks behind them are encoded once each, words met again are not forgotten; ids are the library's."""
+    table = pieces.PieceTable(pieces.default_model())
+    marks = [".", ",", "!!", "$$$", ".\nThe", ",\nOf", "-", "'s", "1", "\u0301", "\t", "_x", "\x00", "\U0001f600", "\u2581", "\u00a0b"]
+    words = ["the", "thhahest", "naïve", "日本語", "слово", "x" * 70, "12", "\U00010400\U0001f600"]
+    texts = [" ".join(w + m for w in words for m in marks), *(f"a {w}{m} b" for w in words for m in marks), "a\u2581b c", "\u2581a b", " a b", "a  b, c.", "a b ", ",a .b", "\n a"]
+    assert all(table.encode(t) == table.library.encode(t) for t in texts)
+    table, made = pieces.PieceTable(pieces.default_model()), []
+    tokens = table.tokens
+    monkeypatch.setattr(table, "tokens", lambda part: (made.append(part), tokens(part))[1])
+    words = [f"{a}{b}" for a in ("un", "qua", "thor", "zel") for b in ("ing", "wex", "able", "hth", "ou")]
+    table.chunks(" ".join(w + m for w in words for m in (".", ",", "!", "?", ";", "...")))
+    assert len(made) == len(words) + 6
+    monkeypatch.setattr(pieces, "CACHE", 200)
+    made.clear()
+    for i in range(40):
+        for j in range(10):
+            table.chunks(f"often lately {chr(97 + j) * 3}{chr(97 + i % 26) * (2 + i // 26)}")
+    assert made.count("\u2581often") == made.count("\u2581lately") == 1 and len(table.words) + len(table.older) <= 200
+
+
 def test_worker_memory():
     """What a worker holds at once: slices of a large batch, and remembered parts."""
     rng = np.random.default_rng(4)
