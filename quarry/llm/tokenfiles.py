@@ -39,7 +39,7 @@ BLOCK, TOP, LEAST = 1 << 21, 60_000, 4
 #: Ids of the expansions that a reader keeps whole.
 SHORT = 256
 #: Chunks that a worker remembers.
-CACHE = 1_000_000
+CACHE = 1_400_000
 #: New chunks that are encoded in one text, and in one call.
 ROW, GROUP = 32, 8192
 SPACED = re.compile(r"\s*\S+|\s+")
@@ -208,13 +208,13 @@ class Encoder:
         both = np.empty(len(is_own), np.int64)
         both[is_own], both[~is_own] = index, parts
         index = both
-        begin, sizes = self.offs[index], self.offs[index + 1] - self.offs[index]
+        begin, sizes = self.offs[index], np.diff(self.offs[: len(self.known) + 1])[index]
         ends = np.cumsum(sizes)
         flat = self.ids[spans(begin, sizes)]
         last = np.cumsum(sizes_)
         total = np.concatenate([[0], ends])[last] if len(ends) else np.zeros(len(texts), np.int64)
         counts = np.diff(np.concatenate([[0], total])).astype(np.int64)
-        return np.insert(flat, total, END).astype(np.int32), counts + 1
+        return np.insert(flat, total, END).astype(np.int32, copy=False), counts + 1
 
 
 _loaded: dict[str, Encoder] = {}
@@ -317,7 +317,7 @@ def expand(seq: np.ndarray, grammar: tuple[np.ndarray, ...]) -> np.ndarray:
     """All ids: long symbols are replaced by their two parts until none is left, then each symbol by its expansion."""
     flat, start, size, left, right = grammar
     base = len(size) - len(left)
-    while (long := size[seq] == 0).any():
+    while not size.all() and (long := size[seq] == 0).any():
         ends = np.cumsum(1 + long)
         out = np.empty(ends[-1], np.int32)
         out[ends[~long] - 1] = seq[~long]
