@@ -7,8 +7,8 @@ already ruled out are excluded, down to equal shares of the bytes not ruled out.
 instead. The score is the log10 probability of the whole text and its end.
 
 ``MOST_NODES`` bounds what is broadcast, never the model: the costs of the most frequent whole contexts with a byte (one count
-threshold from the histogram of all counts), each from the full counts of its context. All other codes of a text are joined
-with the counted table; those that were not counted escape through joins with the contexts of each order.
+threshold from the histogram of all counts), each from the full counts of its context. All other codes of a text, counted or not,
+meet the counts of their contexts in two passes (``all_costs``).
 
 The base score is that of a word unigram. Counts of the most frequent words are broadcast (at most ``HOT`` words of at most 64
 bytes); the rest is joined. Null and empty texts consist of the end. Without training texts all words are unknown and all
@@ -24,12 +24,15 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, slices, table, texts_of, trim, with_columns, written
 
 ORDER, MOST_NODES, HOT, HOT_BYTES = 5, 1_500_000, 60_000, 64
+#: Rows of codes that a Python worker handles at once; more where contexts with the same end have more.
+GROUP_ROWS = 300_000
 END_WORD = b""
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -173,45 +176,160 @@ def threshold(counted: DataFrame, most: int) -> int:
     return 1 if reached == len(n) else int(n[by[reached - 1]]) if reached else 1 << 62
 
 
-def low_bytes(code: str, n: int) -> Column:
-    return F.col(code).bitwiseAND((1 << (8 * n)) - 1)
+def low_bytes(code: str | Column, n: int) -> Column:
+    return (F.col(code) if isinstance(code, str) else code).bitwiseAND((1 << (8 * n)) - 1)
 
 
-def code_costs(grams: DataFrame) -> DataFrame:
-    """(code, n, cost) of each counted code: n / (count of its context + its different bytes)."""
-    by = grams.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("_n"), F.count("*").alias("_d"), F.collect_list(F.struct("code", "n")).alias("x"))  # at most 256
-    return by.select("_n", "_d", F.explode("x").alias("x")).select("x.code", "x.n", F.log10(F.col("x.n") / (F.col("_n") + F.col("_d"))).alias("cost"))
+def frequent_costs(grams: DataFrame, least: int) -> DataFrame:
+    """(code, cost) of the codes that were counted ``least`` times: n / (count of the context + its different bytes)."""
+    context = F.shiftright("code", 8).alias("_c")
+    sums = grams.groupBy(context).agg(F.sum("n").alias("_n"), F.count("*").alias("_d"))
+    return grams.filter(F.col("n") >= least).select("code", "n", context).join(sums, "_c").select("code", F.log10(F.col("n") / (F.col("_n") + F.col("_d"))).alias("cost"))
 
 
-def escaped_costs(wanted: DataFrame, grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """(code, cost) of codes that were not counted, by escapes with exclusion from the longest counted context down.
+class Level:
+    """All contexts of ``k`` bytes that are at hand, from their codes (each once) and counts: for each context how often it comes,
+    how many bytes follow it, and what these count for in the context one byte shorter (``shorter``: counts by code, else from here)."""
 
-    What follows a context also follows its shorter ones, so the bytes ruled out at an order are those of the context one byte
-    longer: ``_x`` is what they count for in the shorter context.
-    """
-    found, nodes = wanted.select("code"), grams
-    for k in range(order, -1, -1):
-        shorter = written(nodes.groupBy(low_bytes("code", k).alias("code")).agg(F.sum("n").alias("n")), "ppm-order") if k else None
-        asked = found.select(low_bytes("code", k + 1).alias("code")).distinct()
-        follow = nodes.withColumn("_c", F.shiftright("code", 8)).join(asked.select(F.shiftright("code", 8).alias("_c")).distinct(), "_c", "left_semi")
-        if k:
-            less = follow.select(low_bytes("code", k).alias("code")).distinct().join(shorter.withColumnRenamed("n", "_m"), "code")
-            follow = follow.withColumn("_s", low_bytes("code", k)).join(less.withColumnRenamed("code", "_s"), "_s")
+    def __init__(self, codes: np.ndarray, n: np.ndarray, k: int, shorter: np.ndarray | None = None):
+        by = np.argsort(codes)
+        self.codes, self.n, self.k = codes[by], n[by], k
+        start = np.flatnonzero(np.diff(self.codes >> 8, prepend=-1))
+        self.contexts = self.codes[start] >> 8
+        low = self.codes & ((1 << (8 * k)) - 1)
+        if k == 0:
+            follow = np.zeros(len(low), np.int64)
+        elif shorter is not None:
+            follow = shorter[low]
         else:
-            follow = follow.withColumn("_m", F.lit(0).cast("long"))
-        contexts = follow.groupBy("_c").agg(F.sum("n").alias(f"n{k}"), F.count("*").alias(f"d{k}"), F.sum("_m").alias(f"x{k}"))
-        counts = nodes.join(asked, "code", "left_semi").select(F.col("code").alias("_b"), F.col("n").alias(f"c{k}"))
-        found = found.withColumn("_c", F.shiftright(low_bytes("code", k + 1), 8)).withColumn("_b", low_bytes("code", k + 1))
-        if k < 2:  # at most 65536 rows
-            contexts, counts = F.broadcast(contexts), F.broadcast(counts)
-        found = written(found.join(contexts, "_c", "left").join(counts, "_b", "left").drop("_c", "_b"), "ppm-escapes")
-        nodes = shorter
-    cost = -F.log10(F.lit(256) - F.coalesce("d0", F.lit(0)))
-    for k in range(order + 1):
-        n, d = (F.col(f"{x}{k}") - (F.coalesce(f"{y}{k + 1}", F.lit(0)) if k < order else 0) for x, y in ("nx", "dd"))
-        here = F.when(F.col(f"c{k}").isNotNull(), F.log10(F.col(f"c{k}") / (n + d))).otherwise(F.log10(d / (n + d)) + cost)
-        cost = F.when(F.col(f"d{k}").isNull() | (d == 0), cost).otherwise(here)
-    return found.select("code", cost.alias("cost"))
+            self.low, which = np.unique(low, return_inverse=True)
+            self.low_n = np.bincount(which, weights=self.n, minlength=len(self.low)).astype(np.int64)
+            follow = self.low_n[which]
+        sums = [np.add.reduceat(x, start) if len(start) else x for x in (self.n, follow)]
+        self.total, self.follow, self.distinct = sums[0], sums[1], np.diff(start, append=len(self.codes))
+
+
+class Escapes:
+    """Codes on their way from the longest context down; ``out`` and ``count`` are the bytes already ruled out and what they count for."""
+
+    def __init__(self, codes: np.ndarray, cost: np.ndarray | None = None, count: np.ndarray | None = None, out: np.ndarray | None = None):
+        zero = np.zeros(len(codes), np.int64)
+        self.codes, self.cost = codes, zero.astype(float) if cost is None else cost
+        self.count, self.out = zero if count is None else count, zero if out is None else out
+
+    def take(self, which: np.ndarray) -> Escapes:
+        return Escapes(self.codes[which], self.cost[which], self.count[which], self.out[which])
+
+    def step(self, level: Level) -> tuple[Escapes, Escapes]:
+        """Those whose byte comes in the context, with their whole cost, and those that escape."""
+        code = self.codes & ((1 << (8 * level.k + 8)) - 1)
+        at, seen = found(level.contexts, code >> 8)
+        place, comes = found(level.codes, code)
+        pick = lambda x, i, there: np.where(there, np.append(x, 0)[i], 0)
+        distinct = pick(level.distinct, at, seen)
+        d = np.maximum(distinct - self.out, 0)  # nothing is left where all that follows is ruled out, or the context is unknown
+        n = pick(level.total, at, seen) - self.count + d
+        some = d > 0
+        top = np.where(comes, pick(level.n, place, comes), d)
+        cost = self.cost + np.where(some, np.log10(np.where(some, top, 1) / np.where(some, n, 1)), 0.0)
+        passed = Escapes(self.codes, cost, pick(level.follow, at, seen), distinct)
+        return passed.take(some & comes), passed.take(~(some & comes))
+
+
+def found(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of values in a sorted array, and whether they are there."""
+    at = np.searchsorted(where, what)
+    return at, np.append(where, -1)[at] == what
+
+
+def together(batches: Iterator[pa.RecordBatch], width: int, limit: int) -> Iterator[dict[str, np.ndarray]]:
+    """Columns (null: -1) of about ``limit`` rows at once; rows sorted by the last ``width`` bytes of the context stay together."""
+    held: list[pa.RecordBatch] = []
+    size, due = 0, limit
+
+    def columns(t: pa.Table) -> dict[str, np.ndarray]:
+        return {c: pc.fill_null(t[c], -1).to_numpy() for c in t.column_names}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= due:
+            t = pa.Table.from_batches(held)
+            key = (t["code"].to_numpy() >> 8) & ((1 << (8 * width)) - 1)
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield columns(t.slice(0, last))
+            held, size = t.slice(last).combine_chunks().to_batches(), t.num_rows - last
+            due = max(limit, 2 * size)
+    if held:
+        yield columns(pa.Table.from_batches(held))
+
+
+def by_context(df: DataFrame, width: int) -> DataFrame:
+    """Rows whose contexts end with the same ``width`` bytes in one partition, one after the other."""
+    key = low_bytes(F.shiftright("code", 8), width)
+    return df.repartition(key).sortWithinPartitions(key)
+
+
+def batches_of(schema: pa.Schema, *columns: np.ndarray | None, size: int) -> Iterator[pa.RecordBatch]:
+    for i in range(0, size, 100_000):
+        some = min(100_000, size - i)
+        yield pa.RecordBatch.from_arrays([pa.nulls(some, f.type) if c is None else pa.array(c[i : i + some], f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def all_costs(wanted: DataFrame, grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """(code, cost) of each code of ``wanted`` (each once), counted or not, by escapes with exclusion from contexts of ``order`` bytes (3 to 6) down.
+
+    What follows a context also follows its shorter ones, so the bytes ruled out at an order are those of the context one byte longer.
+    Two passes: contexts with the same last 3 bytes have all that their orders above 3 need; those with the same last 2 bytes have all
+    for order 3; the counts of pairs of bytes (at most 65536), which the other orders need besides, are broadcast. No pass is a chain
+    of joins: such plans took the driver more memory than the model.
+    """
+    limit = GROUP_ROWS
+    kinds = pa.schema([("code", pa.int64()), ("n", pa.int64()), ("cost", pa.float64()), ("count", pa.int64()), ("out", pa.int64())])
+
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with n: codes of 3 bytes and another; with cost alone: done; with count and out: still open."""
+        trim()
+        for x in together(batches, 3, limit):
+            counted = x["n"] >= 0
+            codes, n, left = x["code"][counted], x["n"][counted], Escapes(x["code"][~counted])
+            for k in range(order, 3, -1):
+                level = Level(codes, n, k)
+                done, left = left.step(level)
+                yield from batches_of(kinds, done.codes, None, done.cost, None, None, size=len(done.codes))
+                codes, n = level.low, level.low_n
+            yield from batches_of(kinds, codes, n, None, None, None, size=len(codes))
+            yield from batches_of(kinds, left.codes, None, left.cost, left.count, left.out, size=len(left.codes))
+
+    asked = grams.select("code", "n").unionByName(wanted.select("code", F.lit(None).cast("long").alias("n")))
+    first = written(by_context(asked, 3).mapInArrow(long, "code long, n long, cost double, count long, out long"), "ppm-long")
+    pairs = first.filter("n IS NOT NULL").groupBy(low_bytes("code", 2).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    shared = wanted.sparkSession.sparkContext.broadcast((pairs["code"].to_numpy(), pairs["n"].to_numpy()))
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        codes, n = shared.value
+        pair = np.zeros(1 << 16, np.int64)
+        pair[codes] = n
+        one = Level(codes, n, 1)
+        none = Level(one.low, one.low_n, 0)
+        for x in together(batches, 2, limit):
+            counted = x["n"] >= 0
+            left = Escapes(*[x[c][~counted] for c in ("code", "cost", "count", "out")])
+            if not len(left.codes):
+                continue
+            three = Level(x["code"][counted], x["n"][counted], 3)
+            for level in (three, Level(three.low, three.low_n, 2, pair), one, none):
+                done, left = left.step(level)
+                yield from batches_of(ends, done.codes, done.cost, size=len(done.codes))
+            yield from batches_of(ends, left.codes, left.cost - np.log10(256 - left.out), size=len(left.codes))
+
+    ends = pa.schema([("code", pa.int64()), ("cost", pa.float64())])
+    rest = by_context(first.filter("n IS NOT NULL OR out IS NOT NULL"), 2).mapInArrow(short, "code long, cost double")
+    return first.filter("n IS NULL AND out IS NULL").select("code", "cost").unionByName(rest)
 
 
 def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -224,8 +342,7 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", keep: tup
     is_hot = ((F.col("n") >= least) & (F.length("word") <= HOT_BYTES)) | (F.col("word") == F.lit(END_WORD))  # the end closes every text
     often = vocabulary.filter(is_hot).toArrow()
     hot = dict(zip(often["word"].to_pylist(), often["n"].to_pylist()))
-    costs = written(code_costs(grams), "ppm-costs")
-    frequent = costs.filter(F.col("n") >= threshold(costs, MOST_NODES)).select("code", "cost").toArrow()
+    frequent = frequent_costs(grams, threshold(grams, MOST_NODES)).toArrow()
     codes, prices = (frequent[c].to_numpy() for c in ("code", "cost"))
     del frequent, often
     trim()
@@ -262,9 +379,7 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", keep: tup
     words = part.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("x")).select("_row", F.col("x._rare").alias("word"), F.col("x._times").alias("times"))
     joined = words.join(vocabulary.filter(~is_hot), "word").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_more"), F.sum("times").alias("_also"))
     others = part.select("_row", F.explode(F.arrays_zip("_codes", "_code_times")).alias("x")).select("_row", F.col("x._codes").alias("code"), F.col("x._code_times").alias("times"))
-    asked = written(others.select("code").distinct().join(costs.select("code", "cost"), "code", "left"), "ppm-asked")
-    priced = asked.filter(F.col("cost").isNotNull()).unionByName(escaped_costs(asked.filter(F.col("cost").isNull()), grams))
-    spelled = others.join(priced, "code").groupBy("_row").agg(F.sum(F.col("times") * F.col("cost")).alias("_spelled"))
+    spelled = others.join(all_costs(others.select("code").distinct(), grams), "code").groupBy("_row").agg(F.sum(F.col("times") * F.col("cost")).alias("_spelled"))
     out = part.drop("_rare", "_times", "_codes", "_code_times").join(joined, "_row", "left").join(spelled, "_row", "left").fillna({"_more": 0.0, "_also": 0, "_spelled": 0.0})
     return out.select(*keep, "n_tokens", (F.col("_known") + F.col("_also")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("_base") + F.col("_more") - F.col("n_tokens") * scale).alias("base_score"), (F.col("_score") + F.col("_spelled")).alias("score"))
 

@@ -256,6 +256,35 @@ def test_ppm_threshold(spark):
             spark.conf.set(k, v)
 
 
+def test_ppm_jobs(docs):
+    """Codes that escape take no chain of joins: that took 100 jobs and code beyond 64 KB, and so the driver's memory."""
+    context = docs.sparkSession.sparkContext
+    try:
+        context.setJobGroup("escapes", "")
+        ppm.score_texts(docs, docs.filter("doc_id < 8")).collect()
+        assert 0 < len(context.statusTracker().getJobIdsForGroup("escapes")) <= 60
+    finally:
+        context._jsc.clearJobGroup()
+
+
+def test_ppm_groups(docs, monkeypatch):
+    """Contexts with the same end stay together however few rows a worker takes at once."""
+    train = docs.filter("doc_id < 8")
+    monkeypatch.setattr(ppm, "MOST_NODES", 0)
+    want = by_id(ppm.score_texts(docs, train))
+    monkeypatch.setattr(ppm, "GROUP_ROWS", 1)
+    got = by_id(ppm.score_texts(docs, train))
+    for i in want:
+        assert got[i].score == pytest.approx(want[i].score)
+    keys = [1] * 7 + [2] + [5] * 4 + [9]
+    code = np.array([(i << 32) | (k << 8) | i for i, k in enumerate(keys)], np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(code[i : i + 2]), pa.array([None] * len(code[i : i + 2]), pa.int64())], ["code", "n"]) for i in range(0, len(code), 2)]
+    parts = list(ppm.together(iter(batches), 2, 2))
+    assert np.concatenate([x["code"] for x in parts]).tolist() == code.tolist() and all((x["n"] == -1).all() for x in parts)
+    ends = [set((x["code"] >> 8 & 0xFFFF).tolist()) for x in parts]
+    assert len(parts) > 1 and sum(map(len, ends)) == len(set(keys))
+
+
 def test_ppm_end_word(docs, monkeypatch):
     """The end counts as a word also when no word is broadcast."""
     train = docs.filter("doc_id < 8")
